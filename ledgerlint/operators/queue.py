@@ -132,9 +132,9 @@ def propagated_decisions(decisions: DataFrame, flagged: DataFrame, log: DataFram
     firsts = decisions.groupBy("record_id").agg(
         F.min(when).alias("at"), F.min_by("decision", when).alias("decision"),
         F.min_by("reviewer", when).alias("reviewer"))
-    sources = (flagged.where(F.col("fuzzy_partner_id").isNotNull())
-               .join(firsts, F.col(f.id) == F.col("record_id"))
-               .groupBy(F.col("fuzzy_partner_id").alias("partner"))
+    named = (flagged.where(F.col("fuzzy_partner_id").isNotNull())
+             .select(F.col(f.id).alias("record_id"), F.col("fuzzy_partner_id").alias("partner")))
+    sources = (named.join(firsts, "record_id").groupBy("partner")
                .agg(F.min("at").alias("at"), F.min_by("decision", "at").alias("decision"),
                     F.min_by("reviewer", "at").alias("reviewer")))
     targets = flagged.select(F.col(f.id).alias("partner"), F.col("final_review_score").alias("score"))

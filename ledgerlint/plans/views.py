@@ -51,8 +51,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=table(spark, sf_dir, "customer"))
 
 
-def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decision_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     sql = DECISION_LOG_SQL.replace("FROM customer", "FROM {customer}").replace(
         "FROM events", "FROM {events}")
     return spark.sql(sql, customer=table(spark, sf_dir, "customer"),
-                     events=table(spark, sf_dir, "events"))
+                     events=table(spark, sf_dir, "events") if events is None else events)
