@@ -55,8 +55,12 @@ def _lcs_batch(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, vectorised over Arrow batches."""
-    return pandas_udf(_lcs_batch, returnType=LongType())(a, b)
+    """Length of the longest common subsequence, vectorised over Arrow batches.
+
+    Declared non-deterministic only so that a filter on the length does not make the optimizer
+    compute it a second time.
+    """
+    return pandas_udf(_lcs_batch, returnType=LongType()).asNondeterministic()(a, b)
 
 
 def lcs_native(a: Column, b: Column) -> Column:

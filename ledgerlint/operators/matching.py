@@ -81,66 +81,76 @@ def _lost_grams(length: Column, threshold: int) -> Column:
 
 
 def match_nodes(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec()) -> DataFrame:
-    """One row per distinct (block, text, floor, descr) with its first and last record, and in
-    ``keys`` the bigrams by which similar texts find each other.
-
-    Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
-    order. Bigrams of the road name, which the whole block shares, come last in it, frequent
-    ones late. A text with no more bigrams than it may lose also gets the empty key, so that two
-    such texts meet as well.
-    """
+    """One row per distinct (block, text, floor, descr) with its first and last record."""
     records = df.where(matchable(f)).select(
         F.col(f.pos).alias("pos"), F.col(f.id).alias("id"),
         *[c.alias(k) for k, c in unit_columns(f, spec).items()])
     # without a floor and a description there is nothing a record could match by
     records = records.where((F.col("floor") != "") | (F.col("descr") != ""))
-    nodes = records.groupBy(*UNIT).agg(
+    return records.groupBy(*UNIT).agg(
         F.min("pos").alias("vid"), F.min_by("id", "pos").alias("first_id"),
         F.max("pos").alias("last_pos"), F.max_by("id", "pos").alias("last_id"),
         F.count(F.lit(1)).alias("n"))
 
-    common = (nodes.select("block", "text").distinct()
-              .select(F.explode(_bigrams(F.col("text"))).alias("gram"))
+
+def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
+    """The distinct (block, text) with ``keys``: the bigrams by which similar texts meet.
+
+    Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
+    order. Bigrams of the road name, which the whole block shares, come last in it, frequent
+    ones late. A text with no more bigrams than it may lose also gets the key of the empty
+    text, so that two such texts meet as well. Keys are hashes: a collision only makes a bigram
+    look shared, which the exact tests sort out.
+    """
+    texts = nodes.select("block", "text").distinct()
+    common = (texts.select(F.explode(_bigrams(F.col("text"))).alias("gram"))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS)
               .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).getField("gram").alias("g")))
-    nodes = nodes.withColumn("_common", F.coalesce(common.scalar(), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    texts = (texts.repartition(_partitions(nodes))  # few bytes, but much work per text
+             .withColumn("_common", F.coalesce(common.scalar(), none)))
     ordered = F.array_sort(F.transform(_bigrams(F.col("text")), lambda g: F.struct(
         F.col("block").contains(F.lower(g)).alias("in_block"),
         F.array_position("_common", g).alias("frequency"), g.alias("gram")))).getField("gram")
+    texts = texts.withColumn("_grams", ordered)
     lost = _lost_grams(F.length("text"), spec.address_threshold)
-    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>"))
-    nodes = nodes.withColumn("_grams", ordered).withColumn(
-        "keys", F.concat(F.slice("_grams", 1, lost + 1), weak))
-    return nodes.drop("_common", "_grams")
+    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(""))).otherwise(none)
+    keys = F.concat(F.slice("_grams", 1, lost + 1), weak)
+    return texts.select("block", "text", F.array_distinct(
+        F.transform(keys, lambda g: F.hash(g))).alias("keys"))
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 # ---------------------------------------------------------------------------------- pairs
 
-def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec, itself: bool,
-                  n_texts: int | None = None) -> DataFrame:
+def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec(),
+                  itself: bool = False, n_texts: int | None = None) -> DataFrame:
     """Pairs (block, text_a, text_b, common) of different texts that reach the threshold, each
-    once; with ``itself`` (``left`` is ``right``) only in the order text_a < text_b.
+    once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
+    the order text_a < text_b.
 
-    ``n_texts`` bounds the distinct texts; when it is below ``hot_rows`` no key can be hot.
+    ``n_texts`` bounds the number of texts; when it is below ``hot_rows`` no key can be hot.
     """
     sides = []
-    for side, nodes in (("a", left), ("b", right)):
-        texts = nodes.groupBy("block", "text").agg(F.any_value("keys").alias("keys"))
+    for side, texts in (("a", left), ("b", right)):
         sides.append(texts.select(
-            F.col("block"), F.explode("keys").alias("gram"), F.col("text").alias(f"text_{side}"),
+            F.col("block"), F.explode("keys").alias("key"), F.col("text").alias(f"text_{side}"),
             F.length("text").alias(f"len_{side}"), F.col("keys").alias(f"keys_{side}")))
     a, b = sides
-    on = ["block", "gram"]
+    on = ["block", "key"]
     if n_texts is None or n_texts >= spec.hot_rows:
         a, b = _salted(a, b, on, spec)
         on = [*on, "salt"]
     text_a, text_b, t = F.col("text_a"), F.col("text_b"), spec.address_threshold
-    candidates = a.join(b, on).where(
+    # the work is in the comparisons, not in the bytes: keep all partitions
+    candidates = a.repartition(_partitions(left), *on).join(b, on).where(
         (text_a < text_b if itself else text_a != text_b)
         & sim.lengths_allow(F.col("len_a"), F.col("len_b"), t)
-        & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("gram"))
+        & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
         & sim.edits_allow(text_a, text_b, t))
     scored = candidates.select("block", "text_a", "text_b", sim.lcs(text_a, text_b).alias("common"))
     return scored.where(sim.reaches(F.col("common"), text_a, text_b, t))
@@ -159,14 +169,17 @@ def _salted(a: DataFrame, b: DataFrame, on: list[str], spec: MatchSpec):
     return a, b
 
 
-def match_edges(left: DataFrame, right: DataFrame, spec: MatchSpec, itself: bool,
-                n_texts: int | None = None, some_without_floor: bool = True) -> DataFrame:
+def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: MatchSpec = MatchSpec(),
+                itself: bool = False, n_texts: int | None = None,
+                some_without_floor: bool = True) -> DataFrame:
     """Matching nodes as (block, left, right, score) with left < right in record order.
 
-    Equal floors match; different ones never do. Where a floor is absent the descriptions
-    decide, provided both have text.
+    ``texts`` holds the keys of at least the texts of both sides. Equal floors match; different
+    ones never do. Where a floor is absent the descriptions decide, provided both have text.
     """
-    pairs = similar_texts(left, right, spec, itself, n_texts)
+    of = lambda nodes: texts.join(nodes.select("block", "text").distinct(), ["block", "text"], "left_semi")
+    pairs = (similar_texts(texts, texts, spec, True, n_texts) if itself
+             else similar_texts(of(left), of(right), spec, False, n_texts))
     pairs = pairs.withColumn(
         "score", sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b")))
     alike = left.select("block", F.col("text").alias("text_a")).distinct().select(
@@ -250,8 +263,13 @@ def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
             size *= spec.growth
         cuts = sorted(set(nodes.agg(F.percentile_approx("vid", shares)).first()[0]))
 
+    texts = materialise(text_keys(nodes, spec), "texts")
+
     def edges_of(left, right, itself):
-        return match_edges(left, right, spec, itself, n, without_floor > 0)
+        some = texts
+        if itself and cuts:
+            some = texts.join(left.select("block", "text").distinct(), ["block", "text"], "left_semi")
+        return match_edges(left, right, some, spec, itself, n, without_floor > 0)
 
     found, waiting = [], nodes
     for cut in [*cuts, None]:
@@ -277,12 +295,12 @@ def find_duplicates(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = Match
     last record it claimed."""
     nodes = materialise(match_nodes(df, f, spec), "nodes")
     claims = claim_nodes(nodes, spec)
-    members = (nodes.drop("keys", "text", "block", "floor", "descr").join(claims, "vid", "left")
+    members = (nodes.drop(*UNIT).join(claims, "vid", "left")
                .withColumn("leader", F.coalesce("leader", "vid")))
     stars = members.groupBy("leader").agg(
         F.sum("n").alias("size"), F.count(F.lit(1)).alias("n_nodes"),
         F.min_by("first_id", "vid").alias("leader_id"), F.max_by("last_id", "last_pos").alias("last_id"))
-    stars = materialise(stars.where(F.col("size") > 1), "stars")
+    stars = stars.where(F.col("size") > 1)
 
     placed = lookup(members.select("vid", "leader"), stars.drop("size", "n_nodes"), ["leader"],
                     stars.where(F.col("n_nodes") >= spec.hot_rows).select("leader"), "vid")

@@ -169,20 +169,24 @@ def similarity_ratio_parts(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", F.round(sim.ratio(a, b), 6).alias("ratio"))
 
 
+def _nodes(spark, sf, null_units="literal"):
+    spec = MatchSpec(null_units=null_units)
+    nodes = tables.materialise(matching.match_nodes(views.registry(spark, sf), spec=spec), "nodes")
+    return nodes, tables.materialise(matching.text_keys(nodes, spec), "texts"), spec
+
+
 @query
 def similar_addresses(spark, sf):
     """Different address texts of a block that reach the address threshold."""
-    spec = MatchSpec()
-    nodes = tables.materialise(matching.match_nodes(views.registry(spark, sf), spec=spec), "nodes")
-    pairs = matching.similar_texts(nodes, nodes, spec, True)
+    _, texts, spec = _nodes(spark, sf)
+    pairs = matching.similar_texts(texts, texts, spec, True, texts.count())
     score = sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b"))
     return pairs.select("block", "text_a", "text_b", F.round(score, 6).alias("score"))
 
 
 def _edges(spark, sf, null_units):
-    spec = MatchSpec(null_units=null_units)
-    nodes = tables.materialise(matching.match_nodes(views.registry(spark, sf), spec=spec), "nodes")
-    edges = matching.match_edges(nodes, nodes, spec, True)
+    nodes, texts, spec = _nodes(spark, sf, null_units)
+    edges = matching.match_edges(nodes, nodes, texts, spec, True, texts.count())
     return edges.select("block", "left", "right", F.round("score", 6).alias("score"))
 
 
