@@ -16,10 +16,9 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
     the broadcast side is empty and adaptive execution removes it.
     """
     payload = [c for c in right.columns if c not in keys]
-    renamed = hot.select(*keys).join(right, keys, "left") if keys else hot
-    small = renamed.select(*[F.col(k).alias(f"_h_{k}") for k in keys],
-                           *[F.col(c).alias(f"_hot_{c}") for c in payload],
-                           F.lit(True).alias("_is_hot"))
+    few = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    small = few.join(right, _same(right, few, keys, "_h_"), "left").select(
+        *few.columns, *[F.col(c).alias(f"_hot_{c}") for c in payload], F.lit(True).alias("_is_hot"))
     marked = left.join(F.broadcast(small), _same(left, small, keys, "_h_"), "left")
     is_hot = F.col("_is_hot").isNotNull()
     marked = marked.withColumn(
