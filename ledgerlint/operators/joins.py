@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+MOST_HOT = 10_000
+
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
            spread: str) -> DataFrame:
     """Left join ``right`` (unique on ``keys``; NULL equals NULL) to ``left``.
 
-    ``hot`` holds the keys with so many left rows that one task must not get them all. Callers
-    take every key of at least ``hot_rows`` rows, so there are at most rows / hot_rows of them:
-    these few right rows are broadcast. In the shuffled join the left rows of hot keys are
-    scattered by the column ``spread`` instead of gathering in one partition. With no hot keys
-    the broadcast side is empty and adaptive execution removes it.
+    ``hot`` holds the keys with so many left rows that one task must not get them all, at most
+    ``MOST_HOT`` of them (see :func:`hot_only`): their right rows are broadcast. In the shuffled
+    join the left rows of hot keys are scattered by the column ``spread`` instead of gathering
+    in one partition. With no hot keys the broadcast side is empty and adaptive execution
+    removes it.
     """
     payload = [c for c in right.columns if c not in keys]
     few = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
@@ -43,7 +45,17 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Co
     return condition
 
 
+def hot_only(counts: DataFrame, count: str, hot_rows: int, total: int | None = None) -> DataFrame:
+    """The rows of a table of key counts whose keys are hot: at least ``hot_rows`` rows and at
+    least one in ``MOST_HOT`` of all. So there are never more than ``MOST_HOT`` of them, however
+    large the table; a smaller key is no larger than what one of many tasks reads anyway."""
+    if total is not None:
+        return counts.where(F.col(count) >= max(hot_rows, total // MOST_HOT))
+    everything = counts.agg(F.sum(count)).scalar()
+    return counts.where((F.col(count) >= hot_rows) & (F.col(count) * MOST_HOT >= everything))
+
+
 def frequent_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, counted with map-side partial counts."""
+    """The hot keys of a table, counted with map-side partial counts."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= hot_rows).select(*keys)
+    return hot_only(counts, "_n", hot_rows).select(*keys)

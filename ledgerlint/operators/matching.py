@@ -5,10 +5,12 @@ floors and descriptions do not speak against it. In record order every record th
 claimed claims all later unclaimed records it matches. The result is whole, but the matching
 pairs of a block are never enumerated record by record:
 
-* Copies are collapsed first. Records with the same address text, floor and description match
-  the same others and each other, so one node stands for all of them.
+* Copies are collapsed first. Records with the same address text and floor match the same
+  others and each other, so one node stands for all of them; the description only tells them
+  apart where a block has records without a floor.
 * Candidate texts come from an equi-join on (block, character bigram) over the few bigrams of a
-  text that any similar text must share one of, not from the block alone.
+  text that any similar text must share one of, not from the block alone. The same holds for
+  descriptions where they decide.
 * Nodes are taken in growing slices of the record order. What the leaders of a slice claim is
   gone before the next slice is joined with itself, which keeps the matches that are ever
   written near-linear even where almost everything in a block looks alike.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlint.functions import similarity as sim
 from ledgerlint.functions.text import normalised, strip, text_or_empty
-from ledgerlint.operators.joins import frequent_keys, lookup
+from ledgerlint.operators.joins import frequent_keys, hot_only, lookup
 from ledgerlint.sources.tables import materialise
 from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
 
@@ -80,7 +82,7 @@ def _lost_grams(length: Column, threshold: int) -> Column:
     return F.floor(length * F.lit(worst) + F.lit(1e-6)).cast("int")
 
 
-def match_nodes(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec()) -> DataFrame:
+def match_units(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec()) -> DataFrame:
     """One row per distinct (block, text, floor, descr) with its first and last record."""
     records = df.where(matchable(f)).select(
         F.col(f.pos).alias("pos"), F.col(f.id).alias("id"),
@@ -93,32 +95,64 @@ def match_nodes(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec
         F.count(F.lit(1)).alias("n"))
 
 
-def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
-    """The distinct (block, text) with ``keys``: the bigrams by which similar texts meet.
+def node_keys(units: DataFrame, some_without_floor: bool) -> DataFrame:
+    """Add ``by``, the description as far as it tells nodes apart: floors are compared first, so
+    among records with a floor it only matters if their block has records without one."""
+    has_floor = F.col("floor") != ""
+    if not some_without_floor:
+        return units.withColumn("by", F.lit(""))
+    open_blocks = units.where(~has_floor).select("block", F.lit(True).alias("_open")).distinct()
+    return units.join(open_blocks, "block", "left").withColumn(
+        "by", F.when(has_floor & F.col("_open").isNull(), F.lit("")).otherwise(F.col("descr"))
+    ).drop("_open")
 
-    Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
-    order. Bigrams of the road name, which the whole block shares, come last in it, frequent
-    ones late. A text with no more bigrams than it may lose also gets the key of the empty
-    text, so that two such texts meet as well. Keys are hashes: a collision only makes a bigram
-    look shared, which the exact tests sort out.
-    """
-    texts = nodes.select("block", "text").distinct()
-    common = (texts.select(F.explode(_bigrams(F.col("text"))).alias("gram"))
+
+def match_nodes(units: DataFrame) -> DataFrame:
+    """The nodes to match: units with equal keys taken together."""
+    return units.groupBy("block", "text", "floor", "by").agg(
+        F.min("vid").alias("vid"), F.min_by("first_id", "vid").alias("first_id"),
+        F.max("last_pos").alias("last_pos"), F.max_by("last_id", "last_pos").alias("last_id"),
+        F.sum("n").alias("n"))
+
+
+def _common_grams(texts: DataFrame, text: str) -> Column:
+    """The most frequent bigrams of a table, rarest first, as a one-row subquery."""
+    common = (texts.select(F.explode(_bigrams(F.col(text))).alias("gram"))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS)
               .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).getField("gram").alias("g")))
-    none = F.array().cast("array<string>")
-    texts = (texts.repartition(_partitions(nodes))  # few bytes, but much work per text
-             .withColumn("_common", F.coalesce(common.scalar(), none)))
-    ordered = F.array_sort(F.transform(_bigrams(F.col("text")), lambda g: F.struct(
-        F.col("block").contains(F.lower(g)).alias("in_block"),
+    return F.coalesce(common.scalar(), F.array().cast("array<string>"))
+
+
+def with_keys(df: DataFrame, text: str, threshold: int, out: str, common: Column,
+              inside: Column) -> DataFrame:
+    """Add ``out``, the bigrams of a text by which similar texts meet.
+
+    Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
+    order. Bigrams of ``inside``, which all texts compared share, come last in it, frequent ones
+    late. A text with no more bigrams than it may lose also gets the key of the empty text, so
+    that two such texts meet as well. Keys are hashes: a collision only makes a bigram look
+    shared, which the exact tests sort out.
+    """
+    df = df.withColumn("_common", common).withColumn("_inside", inside)
+    ordered = F.array_sort(F.transform(_bigrams(F.col(text)), lambda g: F.struct(
+        F.col("_inside").contains(F.lower(g)).alias("shared"),
         F.array_position("_common", g).alias("frequency"), g.alias("gram")))).getField("gram")
-    texts = texts.withColumn("_grams", ordered)
-    lost = _lost_grams(F.length("text"), spec.address_threshold)
-    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(""))).otherwise(none)
+    df = df.withColumn("_grams", ordered)
+    lost = _lost_grams(F.length(text), threshold)
+    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>"))
     keys = F.concat(F.slice("_grams", 1, lost + 1), weak)
-    return texts.select("block", "text", F.array_distinct(
-        F.transform(keys, lambda g: F.hash(g))).alias("keys"))
+    return df.withColumn(out, F.array_distinct(F.transform(keys, lambda g: F.hash(g)))).drop(
+        "_common", "_inside", "_grams")
+
+
+def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
+    """The distinct (block, text) with their ``keys``."""
+    texts = nodes.select("block", "text").distinct()
+    # few bytes, but much work per text: keep all partitions
+    return with_keys(texts.repartition(_partitions(nodes)), "text", spec.address_threshold, "keys",
+                     _common_grams(texts, "text"), F.col("block"))
 
 
 def _partitions(df: DataFrame) -> int:
@@ -143,7 +177,7 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
     a, b = sides
     on = ["block", "key"]
     if n_texts is None or n_texts >= spec.hot_rows:
-        a, b = _salted(a, b, on, spec)
+        a, b = _salted(a, b, on, "text_b", spec)
         on = [*on, "salt"]
     text_a, text_b, t = F.col("text_a"), F.col("text_b"), spec.address_threshold
     # the work is in the comparisons, not in the bytes: keep all partitions
@@ -156,62 +190,82 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
     return scored.where(sim.reaches(F.col("common"), text_a, text_b, t))
 
 
-def _salted(a: DataFrame, b: DataFrame, on: list[str], spec: MatchSpec):
-    """Split the keys held by many right texts; the left texts of those keys are repeated."""
+def _salted(a: DataFrame, b: DataFrame, on: list[str], spread: str, spec: MatchSpec):
+    """Split the keys held by many right rows by ``spread``; the left rows of these few keys are
+    repeated for every part."""
     hot = frequent_keys(b, on, spec.hot_rows).withColumn("_hot", F.lit(True))
     is_hot = F.coalesce("_hot", F.lit(False))
     a = (a.join(F.broadcast(hot), on, "left")
          .withColumn("salt", F.explode(F.sequence(
              F.lit(0), F.when(is_hot, spec.salts - 1).otherwise(0)))).drop("_hot"))
     b = (b.join(F.broadcast(hot), on, "left")
-         .withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("text_b"), F.lit(spec.salts))
+         .withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(spec.salts))
                                     .cast("int")).otherwise(0)).drop("_hot"))
     return a, b
 
 
 def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: MatchSpec = MatchSpec(),
-                itself: bool = False, n_texts: int | None = None,
+                itself: bool = False, n_nodes: int | None = None,
                 some_without_floor: bool = True) -> DataFrame:
     """Matching nodes as (block, left, right, score) with left < right in record order.
 
-    ``texts`` holds the keys of at least the texts of both sides. Equal floors match; different
-    ones never do. Where a floor is absent the descriptions decide, provided both have text.
+    ``texts`` holds the keys of at least the texts of both sides, with ``itself`` of no others.
+    ``n_nodes`` bounds the number of nodes; below ``hot_rows`` no key can be hot.
+    Equal floors match; different ones never do. Where a floor is absent the descriptions
+    decide, provided both have text.
     """
     of = lambda nodes: texts.join(nodes.select("block", "text").distinct(), ["block", "text"], "left_semi")
-    pairs = (similar_texts(texts, texts, spec, True, n_texts) if itself
-             else similar_texts(of(left), of(right), spec, False, n_texts))
+    pairs = (similar_texts(texts, texts, spec, True, n_nodes) if itself
+             else similar_texts(of(left), of(right), spec, False, n_nodes))
     pairs = pairs.withColumn(
-        "score", sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b")))
+        "score", sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b"))).drop("common")
     alike = left.select("block", F.col("text").alias("text_a")).distinct().select(
-        "block", "text_a", F.col("text_a").alias("text_b"), F.lit(None).cast("long").alias("common"),
-        F.lit(100.0).alias("score"))
-    pairs = pairs.unionByName(alike).drop("common")
-
-    a = left.select("block", F.col("text").alias("text_a"), "floor",
-                    F.col("descr").alias("descr_a"), F.col("vid").alias("a"))
-    b = right.select("block", F.col("text").alias("text_b"), "floor",
-                     F.col("descr").alias("descr_b"), F.col("vid").alias("b"))
+        "block", "text_a", F.col("text_a").alias("text_b"), F.lit(100.0).alias("score"))
+    pairs = pairs.unionByName(alike)
+
     once = (F.col("text_a") != F.col("text_b")) | (F.col("a") < F.col("b"))
     ends = [F.col("block"), F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"),
             F.col("score")]
-
-    present = F.col("floor") != ""
-    edges = (pairs.join(a.where(present), ["block", "text_a"])
-             .join(b.where(present), ["block", "text_b", "floor"]).where(once).select(*ends))
+    has_floor = F.col("floor") != ""
+    a = left.where(has_floor).select("block", F.col("text").alias("text_a"), "floor", F.col("vid").alias("a"))
+    b = right.where(has_floor).select("block", F.col("text").alias("text_b"), "floor", F.col("vid").alias("b"))
+    edges = (pairs.join(a, ["block", "text_a"]).join(b, ["block", "text_b", "floor"])
+             .where(once).select(*ends))
     if some_without_floor:
-        b_floor = b.withColumnRenamed("floor", "floor_b")
-        one_absent = (F.col("floor") == "") | (F.col("floor_b") == "")
-        x, y, t = F.col("descr_a"), F.col("descr_b"), spec.descr_threshold
-        open_floor = (pairs.join(a.where(x != ""), ["block", "text_a"])
-                      .join(b_floor.where(y != ""), ["block", "text_b"])
-                      .where(one_absent & once & sim.lengths_allow(F.length(x), F.length(y), t)
-                             & sim.edits_allow(x, y, t)))
-        open_floor = open_floor.withColumn("common", sim.lcs(x, y))
-        edges = edges.unionByName(
-            open_floor.where(sim.reaches(F.col("common"), x, y, t)).select(*ends))
+        edges = edges.unionByName(_description_edges(left, right, pairs, once, ends, spec, n_nodes))
     return edges
 
 
+def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once: Column,
+                       ends: list[Column], spec: MatchSpec, n_nodes: int | None) -> DataFrame:
+    """Matches where at least one floor is absent: from similar address texts, an equi-join on
+    the other text and a bigram of the description."""
+    t = spec.descr_threshold
+    common = _common_grams(right.select("by").distinct(), "by")
+    sides = []
+    for side, nodes in (("a", left), ("b", right)):
+        keyed = with_keys(nodes.where(F.col("by") != ""), "by", t, "keys", common, F.lit(""))
+        sides.append(keyed.select(
+            "block", F.col("text").alias(f"text_{side}"), F.col("floor").alias(f"floor_{side}"),
+            F.col("by").alias(f"descr_{side}"), F.col("vid").alias(side),
+            F.col("keys").alias(f"keys_{side}")))
+    a, b = sides
+    x, y = F.col("descr_a"), F.col("descr_b")
+    a = pairs.join(a, ["block", "text_a"]).withColumn("key", F.explode("keys_a"))
+    b = b.withColumn("key", F.explode("keys_b"))
+    on = ["block", "text_b", "key"]
+    if n_nodes is None or n_nodes >= spec.hot_rows:
+        a, b = _salted(a, b, on, "b", spec)
+        on = [*on, "salt"]
+    met = a.join(b, on).where(
+        ((F.col("floor_a") == "") | (F.col("floor_b") == "")) & once
+        & sim.lengths_allow(F.length(x), F.length(y), t)
+        & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
+        & sim.edits_allow(x, y, t))
+    met = met.withColumn("common", sim.lcs(x, y))
+    return met.where(sim.reaches(F.col("common"), x, y, t)).select(*ends)
+
+
 # ---------------------------------------------------------------------------------- claims
 
 def _fold(edges: pd.DataFrame) -> pd.DataFrame:
@@ -293,30 +347,34 @@ def find_duplicates(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = Match
     """Add ``address_text``, ``flag_fuzzy_duplicate``, ``fuzzy_partner_id`` and
     ``fuzzy_is_leader``. A claimed record's partner is its leader, the leader's partner is the
     last record it claimed."""
-    nodes = materialise(match_nodes(df, f, spec), "nodes")
+    units = materialise(match_units(df, f, spec), "units")
+    n_records, without_floor = units.agg(
+        F.sum("n"), F.count_if(F.col("floor") == "")).first()
+    n_records = n_records or 0
+    units = node_keys(units, without_floor > 0)
+    nodes = materialise(match_nodes(units), "nodes")
     claims = claim_nodes(nodes, spec)
-    members = (nodes.drop(*UNIT).join(claims, "vid", "left")
-               .withColumn("leader", F.coalesce("leader", "vid")))
+
+    members = nodes.join(claims, "vid", "left").withColumn("leader", F.coalesce("leader", "vid"))
     stars = members.groupBy("leader").agg(
-        F.sum("n").alias("size"), F.count(F.lit(1)).alias("n_nodes"),
-        F.min_by("first_id", "vid").alias("leader_id"), F.max_by("last_id", "last_pos").alias("last_id"))
+        F.sum("n").alias("size"), F.min_by("first_id", "vid").alias("leader_id"),
+        F.max_by("last_id", "last_pos").alias("last_id"))
     stars = stars.where(F.col("size") > 1)
-
-    placed = lookup(members.select("vid", "leader"), stars.drop("size", "n_nodes"), ["leader"],
-                    stars.where(F.col("n_nodes") >= spec.hot_rows).select("leader"), "vid")
-    flagged = nodes.select("vid", "n", *UNIT).join(
-        placed.where(F.col("leader_id").isNotNull()), "vid")
-    flagged = flagged.select(*[F.col(k).alias(f"_m_{k}") for k in UNIT], "n", "leader", "leader_id",
-                             "last_id")
-    flagged = materialise(flagged, "flagged")
+    grouped = ["block", "text", "floor", "by"]
+    placed = lookup(members.select("vid", *grouped, "leader"), stars.drop("size"), ["leader"],
+                    hot_only(stars, "size", spec.hot_rows, n_records).select("leader"), "vid")
+    placed = placed.where(F.col("leader_id").isNotNull()).drop("vid")
+    found = units.select("n", *UNIT, "by").join(placed, grouped)
+    found = materialise(found.select("n", *[F.col(k).alias(f"_m_{k}") for k in UNIT], "leader",
+                                     "leader_id", "last_id"), "found")
 
     keys = [f"_m_{k}" for k in UNIT]
     tagged = df.withColumns({f"_m_{k}": F.when(matchable(f), c)
                              for k, c in unit_columns(f, spec).items()})
-    hot = flagged.where(F.col("n") >= spec.hot_rows).select(*keys)
-    found = lookup(tagged, flagged.drop("n"), keys, hot, f.pos)
+    hot = hot_only(found, "n", spec.hot_rows, n_records).select(*keys)
+    out = lookup(tagged, found.drop("n"), keys, hot, f.pos)
     leads = F.col(f.pos) == F.col("leader")
-    return found.select(
+    return out.select(
         *df.columns, address_text(f).alias("address_text"),
         F.col("leader").isNotNull().alias("flag_fuzzy_duplicate"),
         F.when(leads, F.col("last_id")).otherwise(F.col("leader_id")).alias("fuzzy_partner_id"),

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlint.functions.text import is_blank, normalised
-from ledgerlint.operators.joins import lookup
+from ledgerlint.operators.joins import hot_only, lookup
 from ledgerlint.specs import BoundingBox, Fields
 
 # What counts as a time of day in opening hours, and the phrases accepted as such.
@@ -65,7 +65,7 @@ def duplicated(df: DataFrame, keys: list[str], flag: str, spread: str,
     """
     counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
               .where(F.col("_copies") > 1))
-    hot = counts.where(F.col("_copies") >= hot_rows)
+    hot = hot_only(counts, "_copies", hot_rows)
     found = lookup(df, counts, keys, hot, spread)
     return found.withColumn(flag, F.col("_copies").isNotNull()).drop("_copies")
 

@@ -171,22 +171,24 @@ def similarity_ratio_parts(spark, sf):
 
 def _nodes(spark, sf, null_units="literal"):
     spec = MatchSpec(null_units=null_units)
-    nodes = tables.materialise(matching.match_nodes(views.registry(spark, sf), spec=spec), "nodes")
-    return nodes, tables.materialise(matching.text_keys(nodes, spec), "texts"), spec
+    units = tables.materialise(matching.match_units(views.registry(spark, sf), spec=spec), "units")
+    open_floors = not units.where("floor = ''").isEmpty()
+    nodes = tables.materialise(matching.match_nodes(matching.node_keys(units, open_floors)), "nodes")
+    return nodes, tables.materialise(matching.text_keys(nodes, spec), "texts"), spec, open_floors
 
 
 @query
 def similar_addresses(spark, sf):
     """Different address texts of a block that reach the address threshold."""
-    _, texts, spec = _nodes(spark, sf)
+    _, texts, spec, _ = _nodes(spark, sf)
     pairs = matching.similar_texts(texts, texts, spec, True, texts.count())
     score = sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b"))
     return pairs.select("block", "text_a", "text_b", F.round(score, 6).alias("score"))
 
 
 def _edges(spark, sf, null_units):
-    nodes, texts, spec = _nodes(spark, sf, null_units)
-    edges = matching.match_edges(nodes, nodes, texts, spec, True, texts.count())
+    nodes, texts, spec, open_floors = _nodes(spark, sf, null_units)
+    edges = matching.match_edges(nodes, nodes, texts, spec, True, nodes.count(), open_floors)
     return edges.select("block", "left", "right", F.round("score", 6).alias("score"))
 
 

@@ -191,9 +191,12 @@ put("similarity_ratio_parts", "SELECT p_partkey, round(" + ratio("p_name", "lowe
 put("similar_addresses", f"""WITH {REGISTRY}, {edges()}
     SELECT DISTINCT block, least(text_i, text_j) AS text_a, greatest(text_i, text_j) AS text_b,
     round(score, 6) AS score FROM near WHERE text_i <> text_j""")
+# groups of copies: the description tells records apart where their block has one without a floor
 for name, mode in (("fuzzy_edges", "literal"), ("fuzzy_edges_unknown", "unknown")):
     put(name, f"""WITH {REGISTRY}, {edges(mode)},
-    copies AS (SELECT pos, min(pos) OVER (PARTITION BY block, text, floor, descr) AS first FROM units)
+    keyed AS (SELECT *, CASE WHEN floor <> '' AND NOT bool_or(floor = '' AND descr <> '')
+      OVER (PARTITION BY block) THEN '' ELSE descr END AS by_descr FROM units),
+    copies AS (SELECT pos, min(pos) OVER (PARTITION BY block, text, floor, by_descr) AS first FROM keyed)
     SELECT DISTINCT block, least(a.first, b.first) AS "left", greatest(a.first, b.first) AS "right",
     round(score, 6) AS score FROM edges e JOIN copies a ON a.pos = e.i JOIN copies b ON b.pos = e.j
     WHERE a.first <> b.first""")

@@ -82,8 +82,8 @@ class MatchSpec:
 
     ``null_units="literal"`` treats a missing floor or description as the text ``nan``;
     ``"unknown"`` treats it as absent. The other values only steer the physical plan and
-    never change the result: ``hot_rows`` is the size from which a join key is split,
-    ``salts`` the number of splits, ``first_slice``/``growth`` the number of records whose
+    never change the result: ``hot_rows`` is the size from which a join key may be split,
+    ``salts`` the number of splits, ``first_slice``/``growth`` the number of nodes whose
     matches are looked for at once, ``fold_edges`` how many remaining edges may be closed
     in one pass per block.
     """
@@ -91,9 +91,9 @@ class MatchSpec:
     address_threshold: int = 90
     descr_threshold: int = 85
     null_units: str = "literal"
-    hot_rows: int = 200_000
+    hot_rows: int = 500_000
     salts: int = 32
-    first_slice: int = 1 << 17
+    first_slice: int = 1 << 15
     growth: int = 8
     fold_edges: int = 500_000
 

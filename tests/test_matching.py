@@ -98,7 +98,7 @@ def test_edges_equal_all_pairs(spark, registry):
             rows.append(dict(rows[-1], building_name=name[:i] + rng.choice("abz") + name[i + rng.randint(0, 1):]))
     df = registry(rows)
     for spec in (MatchSpec(), MatchSpec(address_threshold=70), MatchSpec(hot_rows=1, salts=4)):
-        nodes = matching.match_nodes(df, spec=spec).cache()
+        nodes = matching.match_nodes(matching.node_keys(matching.match_units(df, spec=spec), False)).cache()
         texts = matching.text_keys(nodes, spec)
         n = None if spec.hot_rows == 1 else 0
         got = sorted(tuple(r) for r in matching.similar_texts(texts, texts, spec, True, n)
@@ -115,13 +115,28 @@ def test_edges_equal_all_pairs(spark, registry):
 def test_one_block_of_copies_stays_linear(spark, registry):
     """Copies collapse to one node: no pair of them is ever written."""
     df = registry([{} for _ in range(500)])
-    nodes = matching.match_nodes(df)
+    nodes = matching.match_nodes(matching.node_keys(matching.match_units(df), False))
     assert nodes.count() == 1 and nodes.first()["n"] == 500
     got = matching.find_duplicates(df, spec=MatchSpec(hot_rows=100))
     assert got.where("fuzzy_partner_id = 'R000'").count() == 499
     assert got.where("pos = 0").first()["fuzzy_partner_id"] == "R499"
 
 
+def test_descriptions_do_not_split_nodes_where_floors_decide(spark, registry):
+    """A building with one description per record: one node where all records have a floor, and
+    the same claims either way."""
+    rows = [dict(building_name="Tower", road_name="Main Road", floor_level="1",
+                 location_description=f"Shop number {i * 7919 % 1000} of the mall") for i in range(40)]
+    units = matching.match_units(registry(rows))
+    assert units.count() == 40 and matching.match_nodes(matching.node_keys(units, False)).count() == 1
+    rows[20]["floor_level"] = " "
+    nodes = matching.match_nodes(matching.node_keys(matching.match_units(registry(rows)), True))
+    assert nodes.count() == 40
+    got = matching.find_duplicates(registry(rows)).where("flag_fuzzy_duplicate").collect()
+    assert {r["pos"]: r["fuzzy_partner_id"] for r in got} == {
+        i: f"R{j:03d}" for i, j in one_by_one(rows, "literal").items()}
+
+
 def test_dense_block_is_claimed_slice_by_slice(spark, registry):
     """All names alike but distinct: slices must give the same as one pass, writing fewer edges."""
     rows = [dict(building_name=f"Harbour Front Centre Tower {i:03d}", road_name="Long Winding Valley Road")
