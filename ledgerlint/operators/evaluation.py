@@ -33,7 +33,7 @@ def measures(counts: DataFrame) -> DataFrame:
 def detect(test_set: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec()) -> DataFrame:
     """The detection layers over a labelled table."""
     test_set = materialise(test_set, "test-set")
-    return rule_score(find_duplicates(flag_records(test_set, f), f, spec))
+    return rule_score(flag_records(find_duplicates(test_set, f, spec), f, base=test_set))
 
 
 def evaluate(detected: DataFrame) -> DataFrame:

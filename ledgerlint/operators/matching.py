@@ -83,16 +83,14 @@ def _lost_grams(length: Column, threshold: int) -> Column:
 
 
 def match_units(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = MatchSpec()) -> DataFrame:
-    """One row per distinct (block, text, floor, descr) with its first and last record."""
+    """One row per distinct (block, text, floor, descr): its first and last record and their
+    number. Only numbers are aggregated, which keeps this a hash aggregation."""
     records = df.where(matchable(f)).select(
-        F.col(f.pos).alias("pos"), F.col(f.id).alias("id"),
-        *[c.alias(k) for k, c in unit_columns(f, spec).items()])
+        F.col(f.pos).alias("pos"), *[c.alias(k) for k, c in unit_columns(f, spec).items()])
     # without a floor and a description there is nothing a record could match by
     records = records.where((F.col("floor") != "") | (F.col("descr") != ""))
     return records.groupBy(*UNIT).agg(
-        F.min("pos").alias("vid"), F.min_by("id", "pos").alias("first_id"),
-        F.max("pos").alias("last_pos"), F.max_by("id", "pos").alias("last_id"),
-        F.count(F.lit(1)).alias("n"))
+        F.min("pos").alias("vid"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"))
 
 
 def node_keys(units: DataFrame, some_without_floor: bool) -> DataFrame:
@@ -110,9 +108,7 @@ def node_keys(units: DataFrame, some_without_floor: bool) -> DataFrame:
 def match_nodes(units: DataFrame) -> DataFrame:
     """The nodes to match: units with equal keys taken together."""
     return units.groupBy("block", "text", "floor", "by").agg(
-        F.min("vid").alias("vid"), F.min_by("first_id", "vid").alias("first_id"),
-        F.max("last_pos").alias("last_pos"), F.max_by("last_id", "last_pos").alias("last_id"),
-        F.sum("n").alias("n"))
+        F.min("vid").alias("vid"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"))
 
 
 def _common_grams(texts: DataFrame, text: str) -> Column:
@@ -356,13 +352,14 @@ def find_duplicates(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = Match
     claims = claim_nodes(nodes, spec)
 
     members = nodes.join(claims, "vid", "left").withColumn("leader", F.coalesce("leader", "vid"))
-    stars = members.groupBy("leader").agg(
-        F.sum("n").alias("size"), F.min_by("first_id", "vid").alias("leader_id"),
-        F.max_by("last_id", "last_pos").alias("last_id"))
+    stars = members.groupBy("leader").agg(F.sum("n").alias("size"), F.max("last_pos").alias("last_pos"))
     stars = stars.where(F.col("size") > 1)
+    hot_leaders = hot_only(stars, "size", spec.hot_rows, n_records).select("leader")
+    named = (stars.join(df.select(F.col(f.pos).alias("leader"), F.col(f.id).alias("leader_id")), "leader")
+             .join(df.select(F.col(f.pos).alias("last_pos"), F.col(f.id).alias("last_id")), "last_pos")
+             .select("leader", "leader_id", "last_id"))
     grouped = ["block", "text", "floor", "by"]
-    placed = lookup(members.select("vid", *grouped, "leader"), stars.drop("size"), ["leader"],
-                    hot_only(stars, "size", spec.hot_rows, n_records).select("leader"), "vid")
+    placed = lookup(members.select("vid", *grouped, "leader"), named, ["leader"], hot_leaders, "vid")
     placed = placed.where(F.col("leader_id").isNotNull()).drop("vid")
     found = units.select("n", *UNIT, "by").join(placed, grouped)
     found = materialise(found.select("n", *[F.col(k).alias(f"_m_{k}") for k in UNIT], "leader",

@@ -58,12 +58,13 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def duplicated(df: DataFrame, keys: list[str], flag: str, spread: str,
-               hot_rows: int = 1_000_000) -> DataFrame:
+               hot_rows: int = 1_000_000, base: DataFrame | None = None) -> DataFrame:
     """Flag every row whose ``keys`` occur more than once; NULL equals NULL, NaN equals NaN.
 
-    Counted before anything is joined, so a key of many rows never meets in one task.
+    Counted before anything is joined, so a key of many rows never meets in one task. ``base``
+    is the table ``df`` was made from, row by row: counting there saves computing ``df`` twice.
     """
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    counts = ((df if base is None else base).groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
               .where(F.col("_copies") > 1))
     hot = hot_only(counts, "_copies", hot_rows)
     found = lookup(df, counts, keys, hot, spread)
@@ -71,10 +72,12 @@ def duplicated(df: DataFrame, keys: list[str], flag: str, spread: str,
 
 
 def flag_records(df: DataFrame, f: Fields = Fields(), box: BoundingBox = BoundingBox(),
-                 extra: list[Rule] = (), hot_rows: int = 1_000_000) -> DataFrame:
-    """All rules plus ``any_flag``. ``extra`` rules join in ``any_flag``."""
+                 extra: list[Rule] = (), hot_rows: int = 1_000_000,
+                 base: DataFrame | None = None) -> DataFrame:
+    """All rules plus ``any_flag``. ``extra`` rules join in ``any_flag``; ``base`` as above."""
     flagged = apply_rules(df, [*local_rules(f, box), *extra])
-    flagged = duplicated(flagged, [f.lat, f.lon, f.descr], "flag_duplicate_coords", f.pos, hot_rows)
+    flagged = duplicated(flagged, [f.lat, f.lon, f.descr], "flag_duplicate_coords", f.pos, hot_rows,
+                         df if base is None else base)
     flags = [*RULE_FLAGS, *[r.name for r in extra]]
     any_flag = reduce(lambda a, b: a | b, [F.col(c) for c in flags])
     return flagged.select(*df.columns, *flags, any_flag.alias("any_flag"))

@@ -39,7 +39,8 @@ def matched(spark, sf, null_units="literal"):
 
 
 def scored(spark, sf):
-    return scoring.rule_score(matching.find_duplicates(flagged(spark, sf)))
+    registry = views.registry(spark, sf)
+    return scoring.rule_score(rules.flag_records(matching.find_duplicates(registry), base=registry))
 
 
 def final(spark, sf):

@@ -16,7 +16,8 @@ def triage(registry: DataFrame, f: Fields = Fields(), box: BoundingBox = Boundin
            match: MatchSpec = MatchSpec(), score: ScoreSpec = ScoreSpec(),
            forest: ForestSpec = ForestSpec()) -> DataFrame:
     """From a clean registry table to ``final_review_score`` for every record."""
-    scored = rule_score(find_duplicates(flag_records(registry, f, box), f, match), score)
+    matched = find_duplicates(registry, f, match)
+    scored = rule_score(flag_records(matched, f, box, base=registry), score)
     model = fit_forest(registry, f, forest)
     scored = materialise(with_outlier_score(scored, model, f), "scored")
     return blend(scored, forest.contamination, score)
