@@ -102,8 +102,18 @@ def lengths_allow(len_a: Column, len_b: Column, threshold: int) -> Column:
     return F.lit(200) * F.least(len_a, len_b) >= F.lit(threshold) * (len_a + len_b)
 
 
+def _allowed(a: Column, b: Column, threshold: int) -> Column:
+    """The largest indel distance that reaches the threshold; the product is an integer, so the
+    quotient floors correctly in doubles."""
+    return F.floor(F.lit(100 - threshold) * (F.length(a) + F.length(b)) / 100).cast("int")
+
+
 def edits_allow(a: Column, b: Column, threshold: int) -> Column:
     """Necessary: Levenshtein distance never exceeds the indel distance."""
-    allowed = F.floor(F.lit(100 - threshold) * (F.length(a) + F.length(b)) / 100).cast("int")
-    # (100 - t) * L is an integer, so L * (100 - t) / 100 floors correctly in doubles
-    return F.call_function("levenshtein", a, b, allowed) >= 0
+    return F.call_function("levenshtein", a, b, _allowed(a, b, threshold)) >= 0
+
+
+def edits_suffice(a: Column, b: Column, threshold: int) -> Column:
+    """Sufficient: the indel distance is at most twice the Levenshtein distance."""
+    half = F.floor(_allowed(a, b, threshold) / 2).cast("int")
+    return F.call_function("levenshtein", a, b, half) >= 0

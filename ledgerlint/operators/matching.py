@@ -30,7 +30,7 @@ from ledgerlint.sources.tables import materialise
 from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
 
 UNIT = ["block", "text", "floor", "descr"]
-COMMON_GRAMS = 256
+COMMON_GRAMS = 64
 
 
 def address_text(f: Fields = Fields()) -> Column:
@@ -158,12 +158,13 @@ def _partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------------------------- pairs
 
 def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec(),
-                  itself: bool = False, n_texts: int | None = None) -> DataFrame:
-    """Pairs (block, text_a, text_b, common) of different texts that reach the threshold, each
+                  itself: bool = False, n_texts: int | None = None, scored: bool = True) -> DataFrame:
+    """Pairs (block, text_a, text_b[, score]) of different texts that reach the threshold, each
     once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
     the order text_a < text_b.
 
     ``n_texts`` bounds the number of texts; when it is below ``hot_rows`` no key can be hot.
+    Without the score, pairs so close that their edit distance decides are not compared further.
     """
     sides = []
     for side, texts in (("a", left), ("b", right)):
@@ -181,9 +182,21 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
         (text_a < text_b if itself else text_a != text_b)
         & sim.lengths_allow(F.col("len_a"), F.col("len_b"), t)
         & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
-        & sim.edits_allow(text_a, text_b, t))
-    scored = candidates.select("block", "text_a", "text_b", sim.lcs(text_a, text_b).alias("common"))
-    return scored.where(sim.reaches(F.col("common"), text_a, text_b, t))
+        & sim.edits_allow(text_a, text_b, t)).select("block", "text_a", "text_b")
+    if not scored:
+        return _reaching(candidates, text_a, text_b, t)
+    compared = candidates.withColumn("_common", sim.lcs(text_a, text_b))
+    return compared.where(sim.reaches(F.col("_common"), text_a, text_b, t)).withColumn(
+        "score", sim.ratio_from_lcs(F.col("_common"), text_a, text_b)).drop("_common")
+
+
+def _reaching(candidates: DataFrame, x: Column, y: Column, threshold: int) -> DataFrame:
+    """Candidates that reach the threshold; only unclear ones have their subsequence computed."""
+    sure = candidates.withColumn("_sure", sim.edits_suffice(x, y, threshold))
+    unclear = ~F.col("_sure")
+    compared = sure.withColumn("_common", sim.lcs(F.when(unclear, x), F.when(unclear, y)))
+    return compared.where(F.col("_sure") | sim.reaches(F.col("_common"), x, y, threshold)).drop(
+        "_sure", "_common")
 
 
 def _salted(a: DataFrame, b: DataFrame, on: list[str], spread: str, spec: MatchSpec):
@@ -202,8 +215,9 @@ def _salted(a: DataFrame, b: DataFrame, on: list[str], spread: str, spec: MatchS
 
 def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: MatchSpec = MatchSpec(),
                 itself: bool = False, n_nodes: int | None = None,
-                some_without_floor: bool = True) -> DataFrame:
-    """Matching nodes as (block, left, right, score) with left < right in record order.
+                some_without_floor: bool = True, scored: bool = True) -> DataFrame:
+    """Matching nodes as (block, left, right[, score]) with left < right in record order; the
+    score is that of the address texts.
 
     ``texts`` holds the keys of at least the texts of both sides, with ``itself`` of no others.
     ``n_nodes`` bounds the number of nodes; below ``hot_rows`` no key can be hot.
@@ -211,17 +225,15 @@ def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: Match
     decide, provided both have text.
     """
     of = lambda nodes: texts.join(nodes.select("block", "text").distinct(), ["block", "text"], "left_semi")
-    pairs = (similar_texts(texts, texts, spec, True, n_nodes) if itself
-             else similar_texts(of(left), of(right), spec, False, n_nodes))
-    pairs = pairs.withColumn(
-        "score", sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b"))).drop("common")
+    pairs = (similar_texts(texts, texts, spec, True, n_nodes, scored) if itself
+             else similar_texts(of(left), of(right), spec, False, n_nodes, scored))
+    score = [F.col("score")] if scored else []
     alike = left.select("block", F.col("text").alias("text_a")).distinct().select(
-        "block", "text_a", F.col("text_a").alias("text_b"), F.lit(100.0).alias("score"))
+        "block", "text_a", F.col("text_a").alias("text_b"), *[F.lit(100.0).alias("score") for _ in score])
     pairs = pairs.unionByName(alike)
 
     once = (F.col("text_a") != F.col("text_b")) | (F.col("a") < F.col("b"))
-    ends = [F.col("block"), F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"),
-            F.col("score")]
+    ends = [F.col("block"), F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), *score]
     has_floor = F.col("floor") != ""
     a = left.where(has_floor).select("block", F.col("text").alias("text_a"), "floor", F.col("vid").alias("a"))
     b = right.where(has_floor).select("block", F.col("text").alias("text_b"), "floor", F.col("vid").alias("b"))
@@ -258,8 +270,7 @@ def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once
         & sim.lengths_allow(F.length(x), F.length(y), t)
         & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
         & sim.edits_allow(x, y, t))
-    met = met.withColumn("common", sim.lcs(x, y))
-    return met.where(sim.reaches(F.col("common"), x, y, t)).select(*ends)
+    return _reaching(met, x, y, t).select(*ends)
 
 
 # ---------------------------------------------------------------------------------- claims
@@ -306,7 +317,7 @@ def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """(vid, leader) of every claimed node of a written node table."""
     n, without_floor = nodes.agg(F.count(F.lit(1)), F.count_if(F.col("floor") == "")).first()
     cuts: list[int] = []
-    if n > spec.first_slice:
+    if n > spec.one_pass:
         shares, size = [], spec.first_slice
         while size < n:
             shares.append(size / n)
@@ -319,7 +330,7 @@ def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
         some = texts
         if itself and cuts:
             some = texts.join(left.select("block", "text").distinct(), ["block", "text"], "left_semi")
-        return match_edges(left, right, some, spec, itself, n, without_floor > 0)
+        return match_edges(left, right, some, spec, itself, n, without_floor > 0, scored=False)
 
     found, waiting = [], nodes
     for cut in [*cuts, None]:

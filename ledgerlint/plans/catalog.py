@@ -182,9 +182,8 @@ def _nodes(spark, sf, null_units="literal"):
 def similar_addresses(spark, sf):
     """Different address texts of a block that reach the address threshold."""
     _, texts, spec, _ = _nodes(spark, sf)
-    pairs = matching.similar_texts(texts, texts, spec, True, texts.count())
-    score = sim.ratio_from_lcs(F.col("common"), F.col("text_a"), F.col("text_b"))
-    return pairs.select("block", "text_a", "text_b", F.round(score, 6).alias("score"))
+    return shown(matching.similar_texts(texts, texts, spec, True, texts.count()),
+                 "block", "text_a", "text_b", "score")
 
 
 def _edges(spark, sf, null_units):

@@ -83,9 +83,9 @@ class MatchSpec:
     ``null_units="literal"`` treats a missing floor or description as the text ``nan``;
     ``"unknown"`` treats it as absent. The other values only steer the physical plan and
     never change the result: ``hot_rows`` is the size from which a join key may be split,
-    ``salts`` the number of splits, ``first_slice``/``growth`` the number of nodes whose
-    matches are looked for at once, ``fold_edges`` how many remaining edges may be closed
-    in one pass per block.
+    ``salts`` the number of splits, ``one_pass`` how many nodes are matched with each other at
+    once, ``first_slice``/``growth`` the slices taken of more nodes than that, ``fold_edges``
+    how many remaining edges may be closed in one pass per block.
     """
 
     address_threshold: int = 90
@@ -93,7 +93,8 @@ class MatchSpec:
     null_units: str = "literal"
     hot_rows: int = 500_000
     salts: int = 32
-    first_slice: int = 1 << 15
+    one_pass: int = 1 << 14
+    first_slice: int = 1 << 10
     growth: int = 8
     fold_edges: int = 500_000
 

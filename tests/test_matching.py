@@ -53,8 +53,8 @@ def random_rows(seed, n):
 
 
 PLANS = [
-    {}, {"fold_edges": 0}, {"first_slice": 5, "growth": 2}, {"hot_rows": 2, "salts": 3},
-    {"first_slice": 7, "growth": 3, "fold_edges": 3, "hot_rows": 3, "salts": 2},
+    {}, {"fold_edges": 0}, {"one_pass": 0, "first_slice": 5, "growth": 2}, {"hot_rows": 2, "salts": 3},
+    {"one_pass": 0, "first_slice": 7, "growth": 3, "fold_edges": 3, "hot_rows": 3, "salts": 2},
 ]
 
 
@@ -109,6 +109,8 @@ def test_edges_equal_all_pairs(spark, registry):
         want = sorted((a, b) for ts in by_road.values() for a in ts for b in ts
                       if a < b and reach(a, b, spec.address_threshold))
         assert got == want and len(want) > 20
+        unscored = matching.similar_texts(texts, texts, spec, True, n, scored=False)
+        assert sorted(tuple(r)[1:] for r in unscored.collect()) == want
         nodes.unpersist()
 
 
@@ -158,7 +160,7 @@ def test_dense_block_is_claimed_slice_by_slice(spark, registry):
             out = matching.find_duplicates(df, spec=MatchSpec(**kw)).select("pos", "fuzzy_partner_id").collect()
             return {tuple(r) for r in out}, sum(written)
         whole, all_edges = run()
-        sliced, few_edges = run(first_slice=10, growth=4)
+        sliced, few_edges = run(one_pass=0, first_slice=10, growth=4)
     finally:
         matching.materialise = original
     assert whole == sliced

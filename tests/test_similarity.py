@@ -38,13 +38,15 @@ def test_both_forms_and_necessary_tests(spark):
         rows = spark.createDataFrame(pairs, "a string, b string").select(
             a, b, sim.lcs(a, b).alias("x"), sim.lcs_native(a, b).alias("y"), sim.ratio(a, b).alias("r"),
             sim.ratio(b, a).alias("s"), sim.lengths_allow(F.length(a), F.length(b), t).alias("len"),
-            sim.edits_allow(a, b, t).alias("edit"), sim.reaches(sim.lcs(a, b), a, b, t).alias("hit")).collect()
+            sim.edits_allow(a, b, t).alias("edit"), sim.edits_suffice(a, b, t).alias("sure"), sim.reaches(sim.lcs(a, b), a, b, t).alias("hit")).collect()
         for q in rows:
             assert q.x == q.y == plain_lcs(q.a, q.b)
             assert q.r == q.s and 0 <= q.r <= 100
             assert q.hit == (200 * q.x >= t * (len(q.a) + len(q.b)))
             if q.hit:
                 assert q.len and q.edit
+            if q.sure:
+                assert q.hit
 
 
 def test_known_ratio(spark):
