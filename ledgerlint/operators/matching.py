@@ -31,6 +31,7 @@ from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
 
 UNIT = ["block", "text", "floor", "descr"]
 COMMON_GRAMS = 64
+WEAK = -1
 
 
 def address_text(f: Fields = Fields()) -> Column:
@@ -126,20 +127,23 @@ def with_keys(df: DataFrame, text: str, threshold: int, out: str, common: Column
 
     Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
     order. Bigrams of ``inside``, which all texts compared share, come last in it, frequent ones
-    late. A text with no more bigrams than it may lose also gets the key of the empty text, so
-    that two such texts meet as well. Keys are hashes: a collision only makes a bigram look
-    shared, which the exact tests sort out.
+    late; the order and the bigram's hash are packed into one number to be sorted. The hash is
+    the key: a collision only makes a bigram look shared, which the exact tests sort out. A text
+    with no more bigrams than it may lose also gets the key ``WEAK``, so that two such texts
+    meet as well.
     """
+    low = F.lit((1 << 32) - 1)
     df = df.withColumn("_common", common).withColumn("_inside", inside)
-    ordered = F.array_sort(F.transform(_bigrams(F.col(text)), lambda g: F.struct(
-        F.col("_inside").contains(F.lower(g)).alias("shared"),
-        F.array_position("_common", g).alias("frequency"), g.alias("gram")))).getField("gram")
-    df = df.withColumn("_grams", ordered)
+    packed = F.transform(_bigrams(F.col(text)), lambda g: (
+        F.col("_inside").contains(F.lower(g)).cast("long") * F.lit(1 << 40)
+        + F.array_position("_common", g) * F.lit(1 << 32)
+        + F.hash(g).cast("long").bitwiseAND(low)))
+    df = df.withColumn("_grams", F.array_sort(packed))
     lost = _lost_grams(F.length(text), threshold)
-    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>"))
-    keys = F.concat(F.slice("_grams", 1, lost + 1), weak)
-    return df.withColumn(out, F.array_distinct(F.transform(keys, lambda g: F.hash(g)))).drop(
+    weak = F.when(F.size("_grams") <= lost, F.array(F.lit(WEAK).cast("long"))).otherwise(
+        F.array().cast("array<long>"))
+    hashes = F.transform(F.slice("_grams", 1, lost + 1), lambda p: p.bitwiseAND(low))
+    return df.withColumn(out, F.concat(F.array_distinct(hashes), weak)).drop(
         "_common", "_inside", "_grams")
 
 

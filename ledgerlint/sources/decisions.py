@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOG_SCHEMA = ("seq long, record_id string, reviewer long, reviewed_at timestamp, score double, "
@@ -10,12 +11,12 @@ LOG_SCHEMA = ("seq long, record_id string, reviewer long, reviewed_at timestamp,
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log, or no rows when it does not exist yet or holds no data."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
+    try:
+        return spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)
-    return spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
