@@ -82,16 +82,17 @@ class Forest:
     levels: int
     scale: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            for _ in range(self.levels):
-                below = x[rows, self.feature[at]] <= self.threshold[at]
-                at = np.where(below, self.left[at], self.right[at])
-            total += self.path[at]
-        return np.exp2(-total / len(self.roots) / self.scale)
+
+def isolation_scores(forest: dict, x: np.ndarray) -> np.ndarray:
+    """Scores of a batch of feature rows; ``forest`` holds the fields of :class:`Forest`."""
+    feature, threshold, left, right = (forest[k] for k in ("feature", "threshold", "left", "right"))
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    for root in forest["roots"]:
+        at = np.full(len(x), root)
+        for _ in range(forest["levels"]):
+            at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
+        total += forest["path"][at]
+    return np.exp2(-total / len(forest["roots"]) / forest["scale"])
 
 
 def tree_nodes(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpec(),
@@ -137,10 +138,12 @@ def fit_forest(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpe
 
 def with_outlier_score(df: DataFrame, forest: Forest, f: Fields = Fields()) -> DataFrame:
     """Add ``raw_score`` in (0, 1], larger for records that are easier to isolate."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    # plain arrays: what is broadcast must be readable where this package is not installed
+    shared = df.sparkSession.sparkContext.broadcast(vars(forest).copy())
 
     def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(np.column_stack([c.to_numpy() for c in columns])))
+        return pd.Series(isolation_scores(
+            shared.value, np.column_stack([c.to_numpy() for c in columns])))
 
     udf = pandas_udf(score, returnType=DoubleType())
     return df.withColumn("raw_score", udf(*feature_columns(f).values()))

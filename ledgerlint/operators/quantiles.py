@@ -16,11 +16,11 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
     size and written, so that the ranges stay the same for all later reads. Summing the counts
     per range tells which range holds a wanted rank; only there are values ranked one by one.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ["v"] if partitions is None else [partitions, "v"]
     counts = (df.select(F.col(value).cast("double").alias("v"))
               .where(F.col("v").isNotNull() & ~F.isnan("v"))
               .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    ranged = materialise(counts.repartitionByRange(n, "v")
+    ranged = materialise(counts.repartitionByRange(*ranges)
                          .withColumn("part", F.spark_partition_id()), "quantiles")
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -15,9 +16,10 @@ def test_exact_quantiles(spark):
     probabilities = {"a": 0.0, "b": 0.5, "c": 0.9, "d": 0.97, "e": 1.0}
     for values in samples:
         df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
-        got = quantiles.exact_quantiles(df, "v", probabilities, partitions=7).first()
         want = np.quantile(values, list(probabilities.values()))
-        assert np.allclose([got[k] for k in probabilities], want, rtol=1e-9)
+        for partitions in (7, None):
+            got = quantiles.exact_quantiles(df, "v", probabilities, partitions=partitions).first()
+            assert np.allclose([got[k] for k in probabilities], want, rtol=1e-9)
 
 
 def test_quantiles_of_nothing(spark):
@@ -102,6 +104,11 @@ def test_forest_scores_follow_the_node_table(spark, registry):
         assert abs(row["raw_score"] - 2 ** (-total / 5 / float(forest.average_path(16)))) < 1e-12
 
 
+def test_model_travels_without_the_package(spark, registry):
+    """Executors read the broadcast with plain pickle, so it must not name this package."""
+    assert b"ledgerlint" not in pickle.dumps(vars(forest.fit_forest(planted(registry))).copy())
+
+
 def test_synthetic_styles(spark, registry):
     cases = [("Block 5", "abbreviation", "Blk 5"), ("Tower", "abbreviation", "Tower"),
              ("Tower", "extra_word", "Tower Building"), ("Plaza", "typo", "Plzaa"), ("Mall", "typo", "Mall"),
