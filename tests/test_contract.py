@@ -6,7 +6,9 @@ from compare import connection, difference
 import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from ledgerlint.plans.catalog import CATALOG
+
+QUERIES, SQL = CATALOG, {k: v for k, v in entry_module.oracle_sql().items() if k in CATALOG}
 
 
 @pytest.fixture(scope="module")
