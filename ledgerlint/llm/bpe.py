@@ -15,7 +15,6 @@ nowhere is never tried twice. Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlint.llm.presplit import CACHED_PIECES, Presplitter, distinct_words, gathered
+from ledgerlint.llm.worker import kept
 
 KNOWN_ARCS = 600_000  # arcs looked up that a worker keeps before it starts anew
 
@@ -156,9 +156,8 @@ class Codec:
         return " ".join([labels[i] for i in ids])
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(tokenizer_json: str) -> Codec:
-    return Codec(tokenizer_json)
+    return kept("codec", tokenizer_json, lambda: Codec(tokenizer_json))
 
 
 def _tokenizer_json(path: str) -> str:

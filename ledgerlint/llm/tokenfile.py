@@ -14,8 +14,6 @@ commits to the manifest count, so retried and speculative tasks leave no trace i
 
 from __future__ import annotations
 
-import functools
-import io
 import struct
 import uuid
 import zlib
@@ -25,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from ledgerlint.llm.presplit import CACHED_PIECES, Presplitter, distinct_words, gathered
+from ledgerlint.llm.worker import kept
 from ledgerlint.sources.tables import fresh_path, materialise
 
 MAGIC = b"LLPACK01"
 BLOCK = 8192  # ids of a block; a multiple of 8, so that blocks begin at whole bytes
-TRAILER = struct.Struct("<QQQHQ")  # footer offset, documents, ids, width, first document's number
+TRAILER = "<QQQHQ"  # footer offset, documents, ids, width, ids of a block
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -91,7 +90,7 @@ class PackWriter:
         known = np.array([d is not None for d in self.docs], np.uint8)
         self.out.write(np.array([d or 0 for d in self.docs], "<i8").tobytes() + known.tobytes())
         self.out.write(np.array(self.firsts, "<u8").tobytes() + np.array(self.offsets, "<u8").tobytes())
-        self.out.write(TRAILER.pack(self.at, len(self.docs), self.firsts[-1], self.width, BLOCK) + MAGIC)
+        self.out.write(struct.pack(TRAILER, self.at, len(self.docs), self.firsts[-1], self.width, BLOCK) + MAGIC)
 
 
 class PackReader:
@@ -100,11 +99,11 @@ class PackReader:
     def __init__(self, source):
         self.source = source
         size = source.size()
-        tail = self._bytes(size - TRAILER.size - len(MAGIC), TRAILER.size + len(MAGIC))
+        tail = self._bytes(size - struct.calcsize(TRAILER) - len(MAGIC), struct.calcsize(TRAILER) + len(MAGIC))
         if tail[-len(MAGIC):] != MAGIC:
             raise ValueError("not a file of packed ids, or cut short")
-        footer, n, self.n_ids, self.width, self.block = TRAILER.unpack(tail[: TRAILER.size])
-        data = self._bytes(footer, size - footer - TRAILER.size - len(MAGIC))
+        footer, n, self.n_ids, self.width, self.block = struct.unpack(TRAILER, tail[: struct.calcsize(TRAILER)])
+        data = self._bytes(footer, size - footer - struct.calcsize(TRAILER) - len(MAGIC))
         docs, known = np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n)
         self.docs = [int(d) if k else None for d, k in zip(docs, known)]
         self.firsts = np.frombuffer(data, "<u8", n + 1, 9 * n).astype(np.int64)
@@ -164,9 +163,8 @@ class WordEncoder:
         return [known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s]) for s in split]
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(tokenizer_json: str) -> WordEncoder:
-    return WordEncoder(tokenizer_json)
+    return kept("word encoder", tokenizer_json, lambda: WordEncoder(tokenizer_json))
 
 
 def encode_texts(texts: pa.Array, tokenizer_json: str) -> list[np.ndarray]:
