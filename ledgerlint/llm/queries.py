@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlint.llm import bpe, quality, simhash, tokenfile
+from ledgerlint.llm import bpe, mixing, quality, simhash, tokenfile, toxicity, vectors, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,14 +22,32 @@ def op3_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_quality_list, op5_bpe_automaton, op8_simhash_balls)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op3_quality_list, op4_mix, op5_bpe_automaton, op6_embedding_cells,
+    op8_simhash_balls, op9_toxicity, op10_warc_derivatives)}
 
 SQL: dict[str, str] = {}
