@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlint.llm import bpe, mixing, quality, simhash, tokenfile, toxicity, vectors, warc
+from ledgerlint.llm import bpe, mixing, pii, quality, simhash, tokenfile, toxicity, vectors, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op6_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op3_quality_list, op4_mix, op5_bpe_automaton, op6_embedding_cells,
-    op8_simhash_balls, op9_toxicity, op10_warc_derivatives)}
+    op7_pii_contexts, op8_simhash_balls, op9_toxicity, op10_warc_derivatives)}
 
 SQL: dict[str, str] = {}
