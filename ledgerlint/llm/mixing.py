@@ -11,9 +11,12 @@ rows are shuffled by a hash inside their shard.
 
 from __future__ import annotations
 
+import itertools
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlint.sources.tables import materialise
@@ -28,7 +31,7 @@ class MixSpec:
     weights: tuple[float, ...] = (1, 2, 3)
     most: int = 3
     blocks: int = 256
-    shards: int = 16
+    shards: int | None = None  # the session's number of shuffle partitions
     seed: int = 4
 
 
@@ -62,16 +65,29 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def _place(spec: MixSpec):
+    return F.xxhash64(F.col("doc_id").cast("long"), F.hash("text"), F.lit(spec.seed))
+
+
+def _block(h: str, spec: MixSpec):
+    return F.pmod(F.col(h), F.lit(spec.blocks)).cast("int")
+
+
 def sized(docs: DataFrame, spec: MixSpec) -> DataFrame:
-    """doc_id, source, size, block, h for every row; equal rows get different places by number."""
-    h = F.xxhash64("doc_id", F.hash("text"), F.lit(spec.seed))
-    return docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"),
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), h.alias("h"),
-        F.pmod(h, F.lit(spec.blocks)).cast("int").alias("block"))
+    """doc_id, source, size, h and block of every row; a null text has size 0."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _size().alias("size"),
+                       _place(spec).alias("h")).withColumn("block", _block("h", spec))
 
 
-def plan(blocks: DataFrame, spec: MixSpec) -> tuple[list[tuple], list[tuple]]:
+def _shards(docs: DataFrame, spec: MixSpec) -> int:
+    return spec.shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plan(blocks: DataFrame, spec: MixSpec, shards: int) -> tuple[list[tuple], list[tuple]]:
     """From block sizes (source, block, words): rows (source, source_size, target) and rows
     (source, block, copy, shard, share of the block). One row per source and block is collected: as
     many as there are sources to weigh, times ``spec.blocks``."""
@@ -98,40 +114,70 @@ def plan(blocks: DataFrame, spec: MixSpec) -> tuple[list[tuple], list[tuple]]:
                 drawn.append((own[b], epochs, min(1.0, rest / words)))
                 rest -= min(rest, words)
         units.append(drawn)
-    counts = split_tree(np.array([len(u) for u in units], np.int64), spec.shards, np.random.default_rng(spec.seed)) \
-        if units else np.zeros((spec.shards, 0), np.int64)
+    counts = split_tree(np.array([len(u) for u in units], np.int64), shards, np.random.default_rng(spec.seed)) \
+        if units else np.zeros((shards, 0), np.int64)
     placed = []
     for i, s in enumerate(sources):
-        shard = np.repeat(np.arange(spec.shards), counts[:, i])
+        shard = np.repeat(np.arange(shards), counts[:, i])
         placed += [(s, int(b), int(c), int(k), float(f)) for (b, c, f), k in zip(units[i], shard)]
     return list(zip(sources, sizes, targets)), placed
 
 
+def _drawn(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """``rows`` (with source, size, block, h) once for each time they are taken, with copy, shard and
+    words, less than size only for one document of a source's last block."""
+    # sources x blocks x most rows, however many documents
+    taken = rows.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    taken = taken.drop("_source", "_block")
+    block = Window.partitionBy("source", "block")  # the one block of a source that is taken in part
+    before = F.sum("size").over(block.orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    want = F.round(F.col("share") * F.sum("size").over(block)).cast("long") - F.coalesce(before, F.lit(0))
+    part = taken.where("share < 1").withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), want)))
+    return taken.where("share >= 1").withColumn("words", F.col("size")).unionByName(part.where("words > 0"))
+
+
 def mixture(docs: DataFrame, spec: MixSpec = MixSpec()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, taken, sources). ``rows``: every document with its size and place. ``taken``: a row for each time a document is taken: doc_id, source, size,
-    h, copy, shard, words (less than size only for one document of a source's last block).
-    ``sources``: source, source_size, target."""
+    """(rows, draws, sources). ``rows``: doc_id, source, size, h, block of every document. ``draws``:
+    what is taken of each block, with copy and shard. ``sources``: source, source_size, target."""
     spark = docs.sparkSession
     rows = materialise(sized(docs, spec), "sizes")
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    sources, placed = plan(blocks, spec)
-    draws = spark.createDataFrame(placed, "_source string, _block int, copy int, shard int, share double")
-    whole = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    taken = rows.join(F.broadcast(draws), whole).drop("_source", "_block")  # sources x blocks x most rows
-    full = taken.where("share >= 1").withColumn("words", F.col("size"))
-    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size")  # one block of a source
-    words_in = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    all_in = F.sum("size").over(Window.partitionBy("source", "block"))
-    want = F.round(F.col("share") * all_in).cast("long") - F.coalesce(words_in, F.lit(0))
-    part = taken.where("share < 1").withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), want)))
-    out = full.unionByName(part.where("words > 0")).drop("share", "block")
-    return rows, out, spark.createDataFrame(sources, "source string, source_size long, target double")
+    sources, placed = plan(blocks, spec, _shards(docs, spec))
+    return (rows, spark.createDataFrame(placed, "_source string, _block int, copy int, shard int, share double"),
+            spark.createDataFrame(sources, "source string, source_size long, target double"))
+
+
+def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time a document is taken, a partition
+    per shard in an order shuffled by hash. A document taken in part keeps its first words; documents
+    without words belong to no mix."""
+    rows, draws, _ = mixture(docs, spec)
+    placed = docs.withColumns({"_h": _place(spec), "_size": _size()})
+    names = {c: f"_own_{c}" for c in ("size", "h", "block", "copy", "shard", "share", "words") if c in docs.columns}
+    placed = placed.withColumnsRenamed(names).withColumnsRenamed({"_h": "h", "_size": "size"})
+    if dict(docs.dtypes)["source"] != "string":
+        placed = placed.withColumn("source", F.col("source").cast("string"))
+    taken = _drawn(placed.withColumn("block", _block("h", spec)).where("size > 0"), draws)
+
+    @F.pandas_udf("string")
+    def first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
+        found = [next(itertools.islice(re.finditer(WORDS, t), n - 1, None)).end() for t, n in zip(texts, words)]
+        return pd.Series([t[:end] for t, end in zip(texts, found)], dtype=object)
+
+    cut = taken.where("words < size").withColumn("text", first_words("text", "words"))
+    out = taken.where("words = size").unionByName(cut)
+    n = _shards(docs, spec)
+    order = F.xxhash64("h", "copy", F.lit(spec.seed + 1))
+    out = out.repartition(n, "shard").sortWithinPartitions("shard", order)
+    kept = {names.get(c, c): c for c in docs.columns}
+    return out.select(*[F.col(k).alias(c) for k, c in kept.items()])
 
 
 def mix_digest(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row. Null texts have size 0 and null sources
     are one source, the last. Rows that are equal in all columns share what they take evenly."""
-    places, taken, sources = mixture(docs, spec)
+    places, draws, sources = mixture(docs, spec)
+    taken = _drawn(places, draws)
     rows = places.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
     totals = taken.groupBy("doc_id", "source", "size", "h").agg(F.sum("words").alias("taken"))
     same = ["doc_id", "source", "size", "h"]

@@ -11,11 +11,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlint.sources.tables import materialise
-
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_next"]
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -62,16 +60,14 @@ def counts(text: str | None) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), same
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every row (null text: all zero)."""
-    def counted(batches):
-        for batch in batches:
-            columns = list(zip(*[counts(t) for t in batch["text"].to_pylist()])) or [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", *COUNTS])
+def with_counts(docs: DataFrame) -> DataFrame:
+    """Add COUNTS of ``text`` to every row (null text: all zero)."""
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=COUNTS, dtype="int64")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.withColumn("_counts", counted(F.col("text").cast("string")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
 
 
 def base_failed() -> Column:
@@ -174,15 +170,17 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learned_rules(counted: DataFrame, labels: DataFrame, spec: ListSpec = ListSpec(),
+def learned_rules(docs: DataFrame, labels: DataFrame, spec: ListSpec = ListSpec(),
                   sample: int = LABELLED_ROWS) -> list[list[Condition]]:
-    """Rules from at most ``sample`` labelled rows (doc_id, quality 0 or 1), those first in the
-    order of a hash of doc_id. Rows that fail the base rules teach nothing; no labels, no rules."""
+    """Rules from the documents of at most ``sample`` labels (doc_id, quality 0 or 1), those first in
+    the order of a hash of doc_id. Rows that fail the base rules teach nothing; no labels, no rules."""
     columns = shares()
-    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = (counted.where(~base_failed()).join(marked, "doc_id")
-            .select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *[c.alias(f"x_{k}") for k, c in columns.items()])
-            .orderBy("h", "doc_id").limit(sample).toPandas())
+    marked = (labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+              .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample))
+    known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    rows = (with_counts(known).where(~base_failed())
+            .select("h", "doc_id", "quality", *[c.alias(f"x_{k}") for k, c in columns.items()])
+            .orderBy("h", "doc_id", "x_n_words", "x_mean_word").limit(sample).toPandas())
     if not len(rows):
         return []
     x = {k: rows[f"x_{k}"].to_numpy(float) for k in columns}
@@ -190,8 +188,13 @@ def learned_rules(counted: DataFrame, labels: DataFrame, spec: ListSpec = ListSp
 
 
 def judged(docs: DataFrame, labels: DataFrame, spec: ListSpec = ListSpec()) -> DataFrame:
-    """doc_id, COUNTS, base_failed and kept of every row. Repeated rows are judged alike; a null or
-    empty text has no words and fails the base rules; an empty table gives no rows."""
-    counted = materialise(text_counts(docs), "counts")
-    rules = learned_rules(counted, labels, spec)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
+    """The rows of ``docs`` with COUNTS, base_failed and kept. Repeated rows are judged alike; a null
+    or empty text has no words and fails the base rules; an empty table gives no rows. Columns of
+    these names that ``docs`` already has are replaced."""
+    rules = learned_rules(docs, labels, spec)
+    rows = with_counts(docs.drop(*COUNTS, "base_failed", "kept"))
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
+
+
+def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return judged(docs.select(F.col("doc_id").cast("long"), "text"), labels).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlint.llm import bpe, mixing, pii, quality, simhash, tokenfile, toxicity, vectors, warc
+from ledgerlint.llm import bpe, mixing, pii, quality, repeats, simhash, tokenfile, toxicity, vectors, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,8 +18,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op3_quality_list, op4_mix, op5_bpe_automaton, op6_embedding_cells,
+    op1_token_files, op2_repeated_strings, op3_quality_list, op4_mix, op5_bpe_automaton, op6_embedding_cells,
     op7_pii_contexts, op8_simhash_balls, op9_toxicity, op10_warc_derivatives)}
 
 SQL: dict[str, str] = {}
