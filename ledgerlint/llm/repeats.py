@@ -33,7 +33,7 @@ from ledgerlint.sources.tables import materialise
 
 GRAM = 32  # bytes hashed to choose a sample
 CHUNK = 1 << 20  # starts of a long text handled together
-CROWDED = 256  # surroundings of a name from which its strings are spread
+CROWDED = 8192  # surroundings of a name, about 5 MB, beyond which its strings are spread over tasks
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
