@@ -209,6 +209,7 @@ def repeated_starts(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFra
     rows = materialise(_sampled(docs, spec), "samples")
     names = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("least"),
                                      F.max("around").alias("most")).where("n > 1")
+    names = materialise(names, "names")  # so that the join may split a name with very many rows
     alike = F.col("least") == F.col("most")
     rows = materialise(rows.join(names.select("name", alike.alias("alike")), "name"), "named")
     mixed = rows.where("NOT alike")
