@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlint.llm.presplit import CACHED_PIECES, Presplitter, distinct_words, gathered
 from ledgerlint.llm.worker import kept
 
-KNOWN_ARCS = 600_000  # arcs looked up that a worker keeps before it starts anew
+KNOWN_ARCS = 250_000  # arcs looked up that a worker keeps before it starts anew
 
 
 class Automaton:

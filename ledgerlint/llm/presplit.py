@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-CACHED_PIECES = 500_000  # pieces a worker remembers before it starts anew
+CACHED_PIECES = 250_000  # pieces a worker remembers before it starts anew
 
 
 def byte_letters() -> dict[int, str]:

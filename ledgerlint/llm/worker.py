@@ -15,8 +15,11 @@ _HOLDER = "_ledgerlint_worker_state"
 
 
 def kept(kind: str, key: Any, build: Callable[[], Any]) -> Any:
-    """``build()``, or what it gave before for this key; only the latest key of a kind is kept."""
+    """``build()``, or what it gave before for this kind and key. A worker holds one thing at a time:
+    asking for another lets the former go."""
     held = sys.modules.setdefault(_HOLDER, types.ModuleType(_HOLDER)).__dict__
-    if kind not in held or held[kind][0] != key:
-        held[kind] = (key, build())
-    return held[kind][1]
+    found = held.get("held")
+    if found is None or found[0] != (kind, key):
+        held["held"] = None
+        found = held["held"] = ((kind, key), build())
+    return found[1]
