@@ -27,11 +27,10 @@ ROUNDS = 12
 SLACK = 1e-9
 
 
-def unit_rows(vectors: list) -> np.ndarray:
-    rows = np.array([np.asarray(v, np.float64) for v in vectors])
-    # scaled first, so that no square over- or underflows
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+def unit_row(vector) -> np.ndarray:
+    v = np.asarray(vector, np.float64)
+    v = v / np.abs(v).max()  # scaled first, so that no square over- or underflows
+    return v / np.sqrt(v @ v)
 
 
 def usable(vec: str):
@@ -146,7 +145,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"),
                              F.col("embedding").cast("array<double>").alias("vec"))
     good = rows.where(F.col("label").isNotNull() & usable("vec") & F.col("vec_id").isNotNull())
-    unit = F.pandas_udf(lambda v: pd.Series(list(unit_rows(v.tolist())) if len(v) else [], dtype=object), "array<double>")
+    unit = F.pandas_udf(lambda v: pd.Series([unit_row(x) for x in v], dtype=object), "array<double>")
     good = good.select("vec_id", "label", unit("vec").alias("unit"), F.size("vec").alias("dims"))
     keyed = materialise(good, "units")
     firsts = keyed.groupBy("label", "unit", "dims").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
