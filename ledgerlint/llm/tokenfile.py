@@ -180,7 +180,7 @@ def _open(uri: str, how: str):
     if how == "read":
         return store.open_input_file(path)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # whatever the name ends in
 
 
 def as_uri(path: str) -> str:

@@ -127,7 +127,8 @@ def _centroids(distinct: DataFrame) -> dict[int, np.ndarray]:
     drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).select("label", "k", "unit")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.stack(group["unit"].to_numpy())
+        length = group["unit"].map(len).mode()[0]  # rows of other lengths do without cells
+        rows = np.stack(group["unit"][group["unit"].map(len) == length].to_numpy())
         centres = fit_cells(rows, min(int(group["k"].iloc[0]), len(rows)))
         return pd.DataFrame({"label": group["label"].iloc[0], "centre": list(centres)})
 
