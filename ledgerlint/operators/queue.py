@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlint.operators.joins import frequent_keys, lookup
 from ledgerlint.sources.decisions import latest_decisions
-from ledgerlint.specs import RULE_WEIGHTS, Fields
+from ledgerlint.specs import Fields
 
 # The states of a record in the queue.
 STATUSES = ["pending", "confirmed_real_issue", "false_positive"]
@@ -137,7 +137,9 @@ def propagated_decisions(decisions: DataFrame, flagged: DataFrame, log: DataFram
     sources = (named.join(firsts, "record_id").groupBy("partner")
                .agg(F.min("at").alias("at"), F.min_by("decision", "at").alias("decision"),
                     F.min_by("reviewer", "at").alias("reviewer")))
-    targets = flagged.select(F.col(f.id).alias("partner"), F.col("final_review_score").alias("score"))
+    order = f.pos if f.pos in flagged.columns else "final_review_score"
+    targets = flagged.groupBy(F.col(f.id).alias("partner")).agg(
+        F.min_by("final_review_score", order).alias("score"))  # of the first record with the id
     own = firsts.select(F.col("record_id").alias("partner"), F.col("at").alias("own_at"))
     carried = (sources.join(targets, "partner").join(own, "partner", "left")
                .where(F.col("own_at").isNull() | (F.col("at") < F.col("own_at"))))
@@ -157,6 +159,3 @@ def record_json(df: DataFrame, f: Fields = Fields()) -> DataFrame:
 
 def map_points(df: DataFrame, f: Fields = Fields()) -> DataFrame:
     return df.select(F.col(f.lat).alias("lat"), F.col(f.lon).alias("lon")).na.drop()
-
-
-ISSUE_TYPES = list(RULE_WEIGHTS)

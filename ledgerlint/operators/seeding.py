@@ -55,7 +55,8 @@ def seeded_test_set(df: DataFrame, n_duplicates: int = 25, n_clean: int = 25, se
     rest = df.join(drawn.select(f.id), f.id, "left_anti")
     clean = materialise(sample_rows(rest, n_clean, f"{seed}-clean", f).select(f.id), "clean")
     marks = (drawn.select(f.id, F.lit("seeded").alias("label"))
-             .unionByName(clean.select(f.id, F.lit("clean").alias("label"))))
+             .unionByName(clean.select(f.id, F.lit("clean").alias("label")))
+             .groupBy(f.id).agg(F.max("label").alias("label")))  # an id may repeat; seeded wins
     labelled = df.join(marks, f.id, "left").select(
         *df.columns, F.coalesce("label", F.lit("none")).alias("label"))
     return labelled.unionByName(planted, allowMissingColumns=True)

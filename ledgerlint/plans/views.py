@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Plain SQL that Spark and DuckDB read alike.
 REGISTRY_SQL = """
 SELECT c_custkey AS pos,
-  concat('R', lpad(CAST(c_custkey AS STRING), 9, '0')) AS record_id,
+  concat('R', lpad(CAST(c_custkey AS STRING), 19, '0')) AS record_id,
   CASE WHEN c_custkey % 17 = 0 THEN NULL
        WHEN c_custkey % 5 = 0 THEN concat('Block ', CAST(100 + c_custkey % 40 AS STRING), ' ', c_mktsegment)
        WHEN c_custkey % 5 = 1 THEN concat('Blk ', CAST(100 + c_custkey % 40 AS STRING), ' ', c_mktsegment)
@@ -28,11 +28,11 @@ SELECT c_custkey AS pos,
 FROM customer
 """
 
-# Decisions spread over three times the registry: some records get several, some none, and some
+# The purchases and errors among the events count as decisions. Decisions spread over three times the registry: some records get several, some none, and some
 # decisions are about records no longer in the registry.
 DECISION_LOG_SQL = """
 SELECT event_id AS seq,
-  concat('R', lpad(CAST(event_id % (3 * (SELECT count(*) FROM customer)) AS STRING), 9, '0')) AS record_id,
+  concat('R', lpad(CAST(event_id % (3 * (SELECT count(*) FROM customer)) AS STRING), 19, '0')) AS record_id,
   user_id AS reviewer, ts AS reviewed_at, value / CAST(500 AS DOUBLE) AS score,
   CASE event_type WHEN 'purchase' THEN 'confirmed_real_issue' ELSE 'false_positive' END AS decision
 FROM events WHERE event_type IN ('purchase', 'error')

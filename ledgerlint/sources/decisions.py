@@ -25,7 +25,13 @@ def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
-    """Append a batch of (record_id, score, decision[, reviewer, source, reviewed_at, seq])."""
+    """Append a batch of (record_id, score, decision[, reviewer, source, reviewed_at, seq]).
+
+    ``seq`` orders decisions made at one time, so a batch of several rows must bring it; only a
+    single decision gets it from the clock.
+    """
+    if "seq" not in decisions.columns and decisions.limit(2).count() > 1:
+        raise ValueError("a batch of several decisions needs seq, the order they were made in")
     now = F.current_timestamp()
     defaults = {
         "reviewer": F.lit(None).cast("long"), "source": F.lit("reviewer"), "reviewed_at": now,

@@ -33,9 +33,10 @@ def clean_nulls(df: DataFrame, null_sentinels: list[str] | None = None) -> DataF
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType,
-             null_sentinels: list[str] | None = None) -> DataFrame:
-    """CSV with a header line. Texts may hold line breaks, so quoting is honoured."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+             null_sentinels: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header line. ``multi_line`` allows line breaks inside quotes; each file is then
+    read by one task, otherwise files are split."""
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
           .option("escape", '"').csv(path))
     return clean_nulls(df, null_sentinels)
 
@@ -45,10 +46,6 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_ranked(df: DataFrame, path: str, order: list) -> None:
     """Write in global order: file n sorts before file n + 1."""
     (df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlint.operators.rules import apply_rules, local_rules
@@ -47,7 +48,7 @@ def test_csv_keeps_texts_and_turns_sentinels_to_null(spark, tmp_path):
         [("0123", ' say "hi", twice\nplease ', 1.5), ("NA", "", float("nan")), ("None", None, None)],
         "a string, b string, c double")
     tables.write_csv(df, path)
-    rows = [tuple(r) for r in tables.read_csv(spark, path, df.schema).orderBy("a").collect()]
+    rows = [tuple(r) for r in tables.read_csv(spark, path, df.schema, multi_line=True).orderBy("a").collect()]
     assert rows[-1] == ("0123", ' say "hi", twice\nplease ', 1.5)
     assert rows[:2] == [(None, None, None)] * 2
     kept = tables.clean_nulls(df, ["None"]).orderBy("a").collect()
@@ -76,12 +77,44 @@ def test_log_may_be_missing_or_empty(spark, tmp_path):
     assert decisions.read_csv_log(spark, str(tmp_path / "zero.csv")).count() == 0
 
 
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    tables.write_csv(spark.range(20000).selectExpr("id", "repeat('x', 50) AS t").coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        back = tables.read_csv(spark, path, "id long, t string")
+        assert back.rdd.getNumPartitions() > 1 and back.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_decisions_of_one_batch_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batch = spark.createDataFrame([("A", 0.5, "false_positive", 7), ("A", 0.5, "confirmed_real_issue", 8)],
+                                  "record_id string, score double, decision string, seq long").repartition(2)
+    with pytest.raises(ValueError):
+        decisions.append_decisions(batch.drop("seq"), path)
+    decisions.append_decisions(batch, path)
+    latest = decisions.latest_decisions(decisions.read_log(spark, path)).collect()
+    assert [tuple(r) for r in latest] == [("A", "confirmed_real_issue")]
+
+
+def test_ids_of_views_stay_apart(spark):
+    from ledgerlint.plans import views
+    keys = [1, 999_999_999, 12_345_678_901, 12_345_678_902, 5 * 10**12]
+    customer = spark.createDataFrame([(k, 1, "BUILDING") for k in keys],
+                                     "c_custkey long, c_nationkey int, c_mktsegment string")
+    sql = views.REGISTRY_SQL.replace("FROM customer", "FROM {customer}")
+    ids = [r["record_id"] for r in spark.sql(sql, customer=customer).orderBy("pos").collect()]
+    assert len(set(ids)) == len(keys) and ids == sorted(ids)
+
+
 def test_appending_and_latest(spark, tmp_path):
     path = str(tmp_path / "log")
-    batch = spark.createDataFrame([("A", 0.5, "false_positive"), ("B", 0.1, "false_positive")],
-                                  "record_id string, score double, decision string")
+    batch = spark.createDataFrame([("A", 0.5, "false_positive", 1), ("B", 0.1, "false_positive", 2)],
+                                  "record_id string, score double, decision string, seq long")
     decisions.append_decisions(batch, path)
-    decisions.append_decisions(batch.where("record_id = 'A'").withColumn(
+    decisions.append_decisions(batch.drop("seq").where("record_id = 'A'").withColumn(
         "decision", F.lit("confirmed_real_issue")), path)
     log = decisions.read_log(spark, path)
     assert log.count() == 3 and {r["source"] for r in log.collect()} == {"reviewer"}
