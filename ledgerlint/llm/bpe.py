@@ -23,10 +23,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlint.llm.presplit import CACHED_PIECES, Presplitter, distinct_words, gathered
+from ledgerlint.llm.presplit import Presplitter, distinct_words, gathered
 from ledgerlint.llm.worker import kept
 
-KNOWN_ARCS = 250_000  # arcs looked up that a worker keeps before it starts anew
+CACHED_PIECES = 100_000  # pieces a worker remembers before it starts anew
+KNOWN_ARCS = 100_000  # arcs looked up that a worker keeps before it starts anew
 
 
 class Automaton:

@@ -11,8 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ledgerlint.llm.worker import release
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_next"]
 SYMBOLS = b"#*$%&|<>"
@@ -62,12 +65,18 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """Add COUNTS of ``text`` to every row (null text: all zero)."""
-    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts(t) for t in texts], columns=COUNTS, dtype="int64")
-
-    rows = docs.withColumn("_counts", counted(F.col("text").cast("string")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in COUNTS]])
+
+    def counted(batches):
+        release()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                columns = zip(*[counts(t) for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.int64()) for c in columns]],
+                                                 [*part.schema.names, *COUNTS])
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(counted, schema)
 
 
 def base_failed() -> Column:

@@ -23,3 +23,10 @@ def kept(kind: str, key: Any, build: Callable[[], Any]) -> Any:
         held["held"] = None
         found = held["held"] = ((kind, key), build())
     return found[1]
+
+
+def release() -> None:
+    """Let go what an earlier task's operator kept; operators that keep nothing begin with it."""
+    module = sys.modules.get(_HOLDER)
+    if module is not None:
+        module.__dict__["held"] = None
