@@ -27,6 +27,7 @@ from ledgerlint.llm.presplit import Presplitter, distinct_words, gathered
 from ledgerlint.llm.worker import kept
 
 CACHED_PIECES = 100_000  # pieces a worker remembers before it starts anew
+SLICE_ROWS = 1_000  # texts whose distinct words are encoded together
 KNOWN_ARCS = 100_000  # arcs looked up that a worker keeps before it starts anew
 
 
@@ -185,8 +186,8 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def digest(batches):
         codec = _codec(shipped.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
                 starts, codes, words = distinct_words(part["text"])
                 coded = codec.encode(words)
                 numbers = _joined(words, codes, starts, [" ".join(map(str, ids)) for ids in coded])
