@@ -11,9 +11,11 @@ pairs of a block are never enumerated record by record:
 * Candidate texts come from an equi-join on (block, character bigram) over the few bigrams of a
   text that any similar text must share one of, not from the block alone. The same holds for
   descriptions where they decide.
-* Nodes are taken in growing slices of the record order. What the leaders of a slice claim is
-  gone before the next slice is joined with itself, which keeps the matches that are ever
-  written near-linear even where almost everything in a block looks alike.
+* The nodes of a block are taken in growing slices of the record order. What the leaders of a
+  slice claim is gone before the next slice is joined with itself, which keeps the matches that
+  are ever written near-linear even where almost everything in a block looks alike.
+* The pairs of a join key that many rows of both sides hold are split over a grid of tasks whose
+  size follows from the product of both counts.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlint.functions import similarity as sim
 from ledgerlint.functions.text import normalised, strip, text_or_empty
-from ledgerlint.operators.joins import frequent_keys, hot_only, lookup
+from ledgerlint.operators.joins import hot_only, lookup
 from ledgerlint.sources.tables import materialise
 from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
 
 UNIT = ["block", "text", "floor", "descr"]
 COMMON_GRAMS = 64
 WEAK = -1
+CELL = ["cell_row", "cell_column"]
 
 
 def address_text(f: Fields = Fields()) -> Column:
@@ -162,12 +165,13 @@ def _partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------------------------- pairs
 
 def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec(),
-                  itself: bool = False, n_texts: int | None = None, scored: bool = True) -> DataFrame:
+                  itself: bool = False, n_block: int | None = None, scored: bool = True) -> DataFrame:
     """Pairs (block, text_a, text_b[, score]) of different texts that reach the threshold, each
     once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
     the order text_a < text_b.
 
-    ``n_texts`` bounds the number of texts; when it is below ``hot_rows`` no key can be hot.
+    ``n_block``, if given, bounds the texts of a block on either side. Where no block can hold
+    more than ``task_pairs`` pairs, no key can either and none is counted.
     Without the score, pairs so close that their edit distance decides are not compared further.
     """
     sides = []
@@ -177,9 +181,9 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
             F.length("text").alias(f"len_{side}"), F.col("keys").alias(f"keys_{side}")))
     a, b = sides
     on = ["block", "key"]
-    if n_texts is None or n_texts >= spec.hot_rows:
-        a, b = _salted(a, b, on, "text_b", spec)
-        on = [*on, "salt"]
+    if n_block is None or n_block * n_block > spec.task_pairs:
+        a, b = split_crowded(a, b, on, "text_a", "text_b", spec)
+        on = [*on, *CELL]
     text_a, text_b, t = F.col("text_a"), F.col("text_b"), spec.address_threshold
     # the work is in the comparisons, not in the bytes: keep all partitions
     candidates = a.repartition(_partitions(left), *on).join(b, on).where(
@@ -203,34 +207,51 @@ def _reaching(candidates: DataFrame, x: Column, y: Column, threshold: int) -> Da
         "_sure", "_common")
 
 
-def _salted(a: DataFrame, b: DataFrame, on: list[str], spread: str, spec: MatchSpec):
-    """Split the keys held by many right rows by ``spread``; the left rows of these few keys are
-    repeated for every part."""
-    hot = frequent_keys(b, on, spec.hot_rows).withColumn("_hot", F.lit(True))
-    is_hot = F.coalesce("_hot", F.lit(False))
-    a = (a.join(F.broadcast(hot), on, "left")
-         .withColumn("salt", F.explode(F.sequence(
-             F.lit(0), F.when(is_hot, spec.salts - 1).otherwise(0)))).drop("_hot"))
-    b = (b.join(F.broadcast(hot), on, "left")
-         .withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(spec.salts))
-                                    .cast("int")).otherwise(0)).drop("_hot"))
-    return a, b
+def split_crowded(a: DataFrame, b: DataFrame, on: list[str], id_a: str, id_b: str,
+                  spec: MatchSpec = MatchSpec()) -> tuple[DataFrame, DataFrame]:
+    """Add the columns ``CELL`` to both sides of a join so that no value of (on, cell) has many
+    more than ``task_pairs`` pairs.
+
+    A key with more pairs becomes a grid: left rows are dealt to its rows by ``id_a``, right rows
+    to its columns by ``id_b``, and each is repeated along the other side, so every pair meets in
+    one cell. The crowded keys are a written table; the planner broadcasts it only if its files
+    are below the session's limit and shuffles it otherwise.
+    """
+    most, side = F.lit(float(spec.task_pairs)), F.lit(float(spec.task_pairs) ** 0.5)
+    counted = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    width = lambda other: F.greatest(side, most / F.col(other))
+    crowded = counted(a, "_na").join(counted(b, "_nb"), on).where(
+        F.col("_na").cast("double") * F.col("_nb") > most).select(
+        *on, F.ceil(F.col("_na") / width("_nb")).cast("int").alias("_rows"),
+        F.ceil(F.col("_nb") / width("_na")).cast("int").alias("_columns"))
+    crowded = materialise(crowded, "crowded")
+
+    def dealt(df, own, parts, key, other, repeats):
+        parts, repeats = (F.coalesce(F.col(c), F.lit(1)) for c in (parts, repeats))
+        return (df.join(crowded, on, "left")
+                .withColumn(own, F.pmod(F.xxhash64(key), parts).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), repeats - 1)))
+                .drop("_rows", "_columns"))
+
+    row, column = CELL
+    return (dealt(a, row, "_rows", id_a, column, "_columns"),
+            dealt(b, column, "_columns", id_b, row, "_rows"))
 
 
 def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: MatchSpec = MatchSpec(),
-                itself: bool = False, n_nodes: int | None = None,
+                itself: bool = False, n_block: int | None = None,
                 some_without_floor: bool = True, scored: bool = True) -> DataFrame:
     """Matching nodes as (block, left, right[, score]) with left < right in record order; the
     score is that of the address texts.
 
     ``texts`` holds the keys of at least the texts of both sides, with ``itself`` of no others.
-    ``n_nodes`` bounds the number of nodes; below ``hot_rows`` no key can be hot.
+    ``n_block``, if given, bounds the nodes of a block; see :func:`similar_texts`.
     Equal floors match; different ones never do. Where a floor is absent the descriptions
     decide, provided both have text.
     """
     of = lambda nodes: texts.join(nodes.select("block", "text").distinct(), ["block", "text"], "left_semi")
-    pairs = (similar_texts(texts, texts, spec, True, n_nodes, scored) if itself
-             else similar_texts(of(left), of(right), spec, False, n_nodes, scored))
+    pairs = (similar_texts(texts, texts, spec, True, n_block, scored) if itself
+             else similar_texts(of(left), of(right), spec, False, n_block, scored))
     score = [F.col("score")] if scored else []
     alike = left.select("block", F.col("text").alias("text_a")).distinct().select(
         "block", "text_a", F.col("text_a").alias("text_b"), *[F.lit(100.0).alias("score") for _ in score])
@@ -244,12 +265,12 @@ def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: Match
     edges = (pairs.join(a, ["block", "text_a"]).join(b, ["block", "text_b", "floor"])
              .where(once).select(*ends))
     if some_without_floor:
-        edges = edges.unionByName(_description_edges(left, right, pairs, once, ends, spec, n_nodes))
+        edges = edges.unionByName(_description_edges(left, right, pairs, once, ends, spec))
     return edges
 
 
 def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once: Column,
-                       ends: list[Column], spec: MatchSpec, n_nodes: int | None) -> DataFrame:
+                       ends: list[Column], spec: MatchSpec) -> DataFrame:
     """Matches where at least one floor is absent: from similar address texts, an equi-join on
     the other text and a bigram of the description."""
     t = spec.descr_threshold
@@ -266,10 +287,8 @@ def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once
     a = pairs.join(a, ["block", "text_a"]).withColumn("key", F.explode("keys_a"))
     b = b.withColumn("key", F.explode("keys_b"))
     on = ["block", "text_b", "key"]
-    if n_nodes is None or n_nodes >= spec.hot_rows:
-        a, b = _salted(a, b, on, "b", spec)
-        on = [*on, "salt"]
-    met = a.join(b, on).where(
+    a, b = split_crowded(a, b, on, "a", "b", spec)
+    met = a.join(b, [*on, *CELL]).where(
         ((F.col("floor_a") == "") | (F.col("floor_b") == "")) & once
         & sim.lengths_allow(F.length(x), F.length(y), t)
         & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
@@ -280,7 +299,7 @@ def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once
 # ---------------------------------------------------------------------------------- claims
 
 def _fold(edges: pd.DataFrame) -> pd.DataFrame:
-    """Claims of one block from its (few) edges, in record order."""
+    """Claims of one block from its few edges, in record order."""
     claimed: dict[int, int] = {}
     for left, right in edges[["left", "right"]].sort_values(["left", "right"]).itertuples(index=False):
         if left not in claimed and right not in claimed:
@@ -291,14 +310,15 @@ def _fold(edges: pd.DataFrame) -> pd.DataFrame:
 def resolve_claims(edges: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """(vid, leader) of every claimed node of a written edge table (block, left, right).
 
-    While there are many edges, all blocks are worked on in rounds: a node without an open
-    earlier neighbour leads, its neighbours are claimed and leave with their edges. Once few
-    edges are left they are closed by one pass per block. Who is claimed being known, the
-    claiming leader is the lowest one among all neighbours.
+    While some block has many edges, all blocks are worked on in rounds: a node without an open
+    earlier neighbour leads, its neighbours are claimed and leave with their edges. Once no block
+    has more than ``fold_edges`` left they are closed by one pass per block. Who is claimed being
+    known, the claiming leader is the lowest one among all neighbours.
     """
     open_edges, taken = edges, []
     while True:
-        if open_edges.count() <= spec.fold_edges:
+        most = open_edges.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= spec.fold_edges:
             rest = open_edges.select("block", "left", "right").groupBy("block").applyInPandas(
                 _fold, "vid long, leader long")
             if not taken:
@@ -317,35 +337,54 @@ def resolve_claims(edges: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame
     return leading.groupBy(F.col("right").alias("vid")).agg(F.min("left").alias("leader"))
 
 
+def with_slices(nodes: DataFrame, largest: int, spec: MatchSpec = MatchSpec()) -> tuple[DataFrame, int]:
+    """Add ``slice``, which grows with the record order of a block, and return the highest one.
+
+    The slices of a block end at the shares 1 / growth, 1 / growth**2, ... of its nodes; the first
+    holds about ``first_slice`` nodes at most. ``largest`` is the size of the largest block.
+    """
+    n_cuts = 0
+    while spec.first_slice * spec.growth ** n_cuts < largest:
+        n_cuts += 1
+    if not n_cuts:
+        return nodes.withColumn("slice", F.lit(0)), 0
+    shares = [spec.growth ** -k for k in range(n_cuts, 0, -1)]
+    cuts = nodes.groupBy("block").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("vid", shares).alias("_cuts"))
+    # a block keeps the cuts that leave its first slice no smaller than the others of that step
+    least = spec.first_slice / spec.growth
+    kept = F.filter("_cuts", lambda _, i: F.col("_n") * F.get(F.lit(shares), i) > least)
+    cuts = cuts.select("block", kept.alias("_cuts"))
+    placed = nodes.join(cuts, "block").withColumn(
+        "slice", F.size(F.filter("_cuts", lambda c: c < F.col("vid")))).drop("_cuts")
+    return materialise(placed, "nodes"), n_cuts
+
+
 def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """(vid, leader) of every claimed node of a written node table."""
-    n, without_floor = nodes.agg(F.count(F.lit(1)), F.count_if(F.col("floor") == "")).first()
-    cuts: list[int] = []
-    if n > spec.one_pass:
-        shares, size = [], spec.first_slice
-        while size < n:
-            shares.append(size / n)
-            size *= spec.growth
-        cuts = sorted(set(nodes.agg(F.percentile_approx("vid", shares)).first()[0]))
-
+    blocks = nodes.groupBy("block").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("floor") == "").alias("open"))
+    largest, without_floor = blocks.agg(F.max("n"), F.sum("open")).first()
     texts = materialise(text_keys(nodes, spec), "texts")
+    waiting, last = with_slices(nodes, largest or 0, spec)
 
     def edges_of(left, right, itself):
         some = texts
-        if itself and cuts:
+        if itself and last:
             some = texts.join(left.select("block", "text").distinct(), ["block", "text"], "left_semi")
-        return match_edges(left, right, some, spec, itself, n, without_floor > 0, scored=False)
+        return match_edges(left, right, some, spec, itself, largest or 0, (without_floor or 0) > 0,
+                           scored=False)
 
-    found, waiting = [], nodes
-    for cut in [*cuts, None]:
-        now = waiting if cut is None else waiting.where(F.col("vid") <= cut)
+    found = []
+    for step in range(last + 1):
+        now = waiting.where(F.col("slice") == step)
         claims = materialise(
             resolve_claims(materialise(edges_of(now, now, True), "edges"), spec), "claims")
         found.append(claims)
-        if cut is None:
+        if step == last:
             break
         leaders = now.join(claims, "vid", "left_anti")
-        later = waiting.where(F.col("vid") > cut)
+        later = waiting.where(F.col("slice") > step)
         claims = materialise(
             edges_of(leaders, later, False).groupBy(F.col("right").alias("vid"))
             .agg(F.min("left").alias("leader")), "claims")

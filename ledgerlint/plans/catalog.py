@@ -182,13 +182,13 @@ def _nodes(spark, sf, null_units="literal"):
 def similar_addresses(spark, sf):
     """Different address texts of a block that reach the address threshold."""
     _, texts, spec, _ = _nodes(spark, sf)
-    return shown(matching.similar_texts(texts, texts, spec, True, texts.count()),
+    return shown(matching.similar_texts(texts, texts, spec, True),
                  "block", "text_a", "text_b", "score")
 
 
 def _edges(spark, sf, null_units):
     nodes, texts, spec, open_floors = _nodes(spark, sf, null_units)
-    edges = matching.match_edges(nodes, nodes, texts, spec, True, nodes.count(), open_floors)
+    edges = matching.match_edges(nodes, nodes, texts, spec, True, None, open_floors)
     return edges.select("block", "left", "right", F.round("score", 6).alias("score"))
 
 

@@ -82,21 +82,20 @@ class MatchSpec:
 
     ``null_units="literal"`` treats a missing floor or description as the text ``nan``;
     ``"unknown"`` treats it as absent. The other values only steer the physical plan and
-    never change the result: ``hot_rows`` is the size from which a join key may be split,
-    ``salts`` the number of splits, ``one_pass`` how many nodes are matched with each other at
-    once, ``first_slice``/``growth`` the slices taken of more nodes than that, ``fold_edges``
-    how many remaining edges may be closed in one pass per block.
+    never change the result: ``task_pairs`` is how many pairs of a key one task may compare,
+    ``first_slice``/``growth`` the slices taken of each block, ``fold_edges`` how many remaining
+    edges of a block may be closed in one pass, ``hot_rows`` the size from which a key of the
+    joins back to the records is scattered.
     """
 
     address_threshold: int = 90
     descr_threshold: int = 85
     null_units: str = "literal"
     hot_rows: int = 500_000
-    salts: int = 32
-    one_pass: int = 1 << 14
-    first_slice: int = 1 << 10
+    task_pairs: int = 1 << 20
+    first_slice: int = 1 << 8
     growth: int = 8
-    fold_edges: int = 500_000
+    fold_edges: int = 20_000
 
 
 @dataclass(frozen=True)

@@ -53,8 +53,8 @@ def random_rows(seed, n):
 
 
 PLANS = [
-    {}, {"fold_edges": 0}, {"one_pass": 0, "first_slice": 5, "growth": 2}, {"hot_rows": 2, "salts": 3},
-    {"one_pass": 0, "first_slice": 7, "growth": 3, "fold_edges": 3, "hot_rows": 3, "salts": 2},
+    {}, {"fold_edges": 0}, {"first_slice": 5, "growth": 2}, {"hot_rows": 2, "task_pairs": 4},
+    {"first_slice": 7, "growth": 3, "fold_edges": 3, "hot_rows": 3, "task_pairs": 1},
 ]
 
 
@@ -97,10 +97,10 @@ def test_edges_equal_all_pairs(spark, registry):
             i = rng.randrange(len(name))
             rows.append(dict(rows[-1], building_name=name[:i] + rng.choice("abz") + name[i + rng.randint(0, 1):]))
     df = registry(rows)
-    for spec in (MatchSpec(), MatchSpec(address_threshold=70), MatchSpec(hot_rows=1, salts=4)):
+    for spec in (MatchSpec(), MatchSpec(address_threshold=70), MatchSpec(task_pairs=9)):
         nodes = matching.match_nodes(matching.node_keys(matching.match_units(df, spec=spec), False)).cache()
         texts = matching.text_keys(nodes, spec)
-        n = None if spec.hot_rows == 1 else 0
+        n = None if spec.task_pairs == 9 else 0
         got = sorted(tuple(r) for r in matching.similar_texts(texts, texts, spec, True, n)
                      .select("text_a", "text_b").collect())
         by_road = {}
@@ -160,13 +160,62 @@ def test_dense_block_is_claimed_slice_by_slice(spark, registry):
             out = matching.find_duplicates(df, spec=MatchSpec(**kw)).select("pos", "fuzzy_partner_id").collect()
             return {tuple(r) for r in out}, sum(written)
         whole, all_edges = run()
-        sliced, few_edges = run(one_pass=0, first_slice=10, growth=4)
+        sliced, few_edges = run(first_slice=10, growth=4)
     finally:
         matching.materialise = original
     assert whole == sliced
     assert few_edges < all_edges / 5
 
 
+def test_slices_keep_the_record_order_of_every_block(spark):
+    rows = [("big", v) for v in range(0, 2000, 2)] + [("small", v) for v in range(1, 40, 2)]
+    nodes = spark.createDataFrame(rows, "block string, vid long")
+    spec = MatchSpec(first_slice=50, growth=4)
+    out, last = matching.with_slices(nodes, 1000, spec)
+    got = sorted((r["block"], r["vid"], r["slice"]) for r in out.collect())
+    assert [r[:2] for r in got] == sorted(rows)
+    big = [s for b, _, s in got if b == "big"]
+    assert big == sorted(big) and set(big) == set(range(last + 1)) and big.count(0) <= 50
+    assert {s for b, _, s in got if b == "small"} == {0}
+
+
+def test_crowded_keys_are_split_on_both_sides(spark):
+    """One key with 400 x 300 pairs and one with 5 x 600: every pair once, no cell too large."""
+    a = spark.createDataFrame([("x", i) for i in range(400)] + [("y", i) for i in range(5)], "k string, a long")
+    b = spark.createDataFrame([("x", i) for i in range(300)] + [("y", i) for i in range(600)], "k string, b long")
+    left, right = matching.split_crowded(a, b, ["k"], "a", "b", MatchSpec(task_pairs=1000))
+    pairs = left.join(right, ["k", *matching.CELL])
+    assert pairs.count() == pairs.distinct().count() == 400 * 300 + 5 * 600
+    cells = pairs.groupBy("k", *matching.CELL).count().collect()
+    assert max(r["count"] for r in cells) <= 4000 and len(cells) > 100
+    assert max(left.groupBy("k", "a").count().where("k = 'y'").toPandas()["count"]) <= 3
+
+
+def test_comparisons_of_a_dense_block_grow_with_its_texts(spark, registry):
+    """Twice the distinct names of one road must not give four times the similar pairs."""
+    original, seen = matching.similar_texts, []
+
+    def counting(*args, **kw):
+        out = original(*args, **kw)
+        seen.append(out.count())
+        return out
+
+    def made(n):
+        seen.clear()
+        matching.find_duplicates(
+            registry([dict(building_name=f"Harbour Front Centre Tower {i:03d}",
+                           road_name="Long Winding Valley Road") for i in range(n)]),
+            spec=MatchSpec(first_slice=32, growth=8)).count()
+        return sum(seen)
+
+    matching.similar_texts = counting
+    try:
+        few, many = made(250), made(500)
+    finally:
+        matching.similar_texts = original
+    assert few < 250 * 20 and many < 2.6 * few
+
+
 def test_floor_conflict_and_missing_floors(spark, registry):
     def flagged(rows, mode="literal"):
         out = matching.find_duplicates(registry(rows), spec=MatchSpec(null_units=mode))
