@@ -15,7 +15,7 @@ from ledgerlint.plans.catalog import CATALOG
 
 HEADLINE = [
     "profile_missing", "profile_shared_key_lineitem", "rule_summary", "rule_duplicate_lineitem",
-    "similarity_ratio", "similar_addresses", "fuzzy_edges", "fuzzy_claims", "layer_comparison",
+    "similarity_ratio", "similar_addresses", "fuzzy_edges", "fuzzy_claims", "fuzzy_claims_names", "layer_comparison",
     "latest_decision", "review_queue", "queue_kpis", "decision_propagation", "review_reasons",
     "seeded_eval", "forest_scores", "effort_metrics", "effort_metrics_global", "full_pipeline",
 ]

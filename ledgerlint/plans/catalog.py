@@ -76,6 +76,14 @@ def profile_schema(spark, sf):
         "name", "present", F.coalesce("n_values", F.lit(0)).alias("n_values"))
 
 
+@query
+def profile_columns(spark, sf):
+    """Each column of the registry with its position, type and number of values."""
+    df = views.registry(spark, sf)
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "name", "n_values")
+    return profile.column_listing(df).join(counts, "name").select("ordinal", "name", "type", "n_values")
+
+
 @query
 def profile_missing(spark, sf):
     return profile.missing_per_column(views.registry(spark, sf))
@@ -216,6 +224,12 @@ def fuzzy_claims_unknown(spark, sf):
     return matched(spark, sf, "unknown").select(*CLAIM)
 
 
+@query
+def fuzzy_claims_names(spark, sf):
+    """The matcher on customer names within a nation: the distinct texts grow with the table."""
+    return matching.find_duplicates(views.names(spark, sf)).select(*CLAIM)
+
+
 # ----------------------------------------------------------------------------- scoring
 
 @query
@@ -336,6 +350,20 @@ def record_json(spark, sf):
     return queue.record_json(flagged(spark, sf))
 
 
+@query
+def record_json_fields(spark, sf):
+    """The documents of :func:`record_json` read back into columns."""
+    table = flagged(spark, sf)
+    back = queue.record_json(table).select(F.from_json("document", table.schema).alias("r")).select("r.*")
+    return rounded(back, "latitude", "longitude")
+
+
+@query
+def map_points_flagged(spark, sf):
+    """The points a reviewer sees: those of the flagged records."""
+    return shown(queue.map_points(queue.flagged_records(final(spark, sf))), "lat", "lon")
+
+
 @query
 def map_points(spark, sf):
     return shown(queue.map_points(views.registry(spark, sf)), "lat", "lon")
@@ -489,6 +517,13 @@ def full_pipeline(spark, sf):
                       "ai_anomaly_score", "final_review_score")
 
 
+@query
+def full_pipeline_rules(spark, sf):
+    """What the whole batch says of each record apart from the forest's random trees."""
+    return shown(triage(views.registry(spark, sf)), "record_id", *rules.RULE_FLAGS, "any_flag",
+                 "flag_fuzzy_duplicate", "fuzzy_partner_id", "fuzzy_is_leader", "review_confidence_score")
+
+
 @query
 def stream_validate(spark, sf):
     """Arriving records validated by a stream; the written table is returned."""

@@ -4,7 +4,7 @@ no prefilters, no collapsing of copies, matching record by record."""
 from __future__ import annotations
 
 from ledgerlint.operators import explain as texts
-from ledgerlint.plans.views import DECISION_LOG_SQL, REGISTRY_SQL, STAND_IN_SCORE
+from ledgerlint.plans.views import DECISION_LOG_SQL, NAMES_SQL, REGISTRY_SQL, STAND_IN_SCORE
 
 ORACLE: dict[str, str] = {}
 
@@ -152,6 +152,10 @@ REGISTRY_COLUMNS = ["pos", "record_id", "building_name", "road_name", "postal_co
 put("profile_shape", REG + "SELECT count(*) AS n_rows, 10 AS n_columns FROM registry")
 put("profile_schema", REG + "SELECT * FROM (VALUES ('unit_number', false, 0)) v(name, present, n_values)"
     + "".join(f" UNION ALL SELECT '{c}', true, count({c}) FROM registry" for c in REGISTRY_COLUMNS))
+TYPES = {"pos": "bigint", "latitude": "double", "longitude": "double"}
+put("profile_columns", REG + " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS name, '{TYPES.get(c, 'string')}' AS type, count({c}) AS n_values FROM registry"
+    for i, c in enumerate(REGISTRY_COLUMNS)))
 put("profile_missing", REG + "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM registry"
     for c in REGISTRY_COLUMNS) + ") WHERE n_missing > 0")
@@ -204,6 +208,9 @@ for name, mode in (("fuzzy_claims", "literal"), ("fuzzy_claims_unknown", "unknow
     put(name, f"""WITH {REGISTRY}, {fuzzy(mode)}
     SELECT record_id, flag_fuzzy_duplicate, fuzzy_partner_id, fuzzy_is_leader FROM fuzzy""")
 
+put("fuzzy_claims_names", f"""WITH names AS ({NAMES_SQL}), {fuzzy("literal", "names")}
+    SELECT record_id, flag_fuzzy_duplicate, fuzzy_partner_id, fuzzy_is_leader FROM fuzzy""")
+
 # scores
 SCORED = f"WITH {REGISTRY}, {scored()} "
 put("rule_score", SCORED + "SELECT " + pick("record_id", "review_confidence_score") + " FROM scored")
@@ -268,6 +275,13 @@ put("decision_propagation", FLAGGED + f""", {LOG},
     FROM named n JOIN flagged p ON p.record_id = n.partner
     WHERE n.k = 1 AND NOT EXISTS (SELECT 1 FROM decision_log o WHERE o.record_id = n.partner
       AND (o.reviewed_at < n.reviewed_at OR (o.reviewed_at = n.reviewed_at AND o.seq <= n.seq)))""")
+put("record_json_fields", f"WITH {REGISTRY}, {flags()} SELECT "
+    + pick(*REGISTRY_COLUMNS, *FLAG_COLUMNS.split(", "), "any_flag") + " FROM flags")
+put("map_points_flagged", FLAGGED + """ SELECT round(latitude, 6) AS lat, round(longitude, 6) AS lon
+    FROM flagged WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
+put("full_pipeline_rules", SCORED + "SELECT " + pick(
+    "record_id", *FLAG_COLUMNS.split(", "), "any_flag", "flag_fuzzy_duplicate", "fuzzy_partner_id",
+    "fuzzy_is_leader", "review_confidence_score") + " FROM scored")
 put("map_points", REG + """SELECT round(latitude, 6) AS lat, round(longitude, 6) AS lon FROM registry
     WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
 

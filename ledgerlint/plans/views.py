@@ -28,6 +28,14 @@ SELECT c_custkey AS pos,
 FROM customer
 """
 
+# Customers by name and nation: every name is another text, so the distinct texts grow with the table.
+NAMES_SQL = """
+SELECT c_custkey AS pos, concat('R', lpad(CAST(c_custkey AS STRING), 19, '0')) AS record_id,
+  c_name AS building_name, concat('Nation ', CAST(c_nationkey AS STRING)) AS road_name,
+  c_mktsegment AS floor_level, CAST(NULL AS STRING) AS location_description
+FROM customer
+"""
+
 # The purchases and errors among the events count as decisions. Decisions spread over three times the registry: some records get several, some none, and some
 # decisions are about records no longer in the registry.
 DECISION_LOG_SQL = """
@@ -51,6 +59,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=table(spark, sf_dir, "customer"))
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NAMES_SQL.replace("FROM customer", "FROM {customer}"),
+                     customer=table(spark, sf_dir, "customer"))
+
+
 def decision_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     sql = DECISION_LOG_SQL.replace("FROM customer", "FROM {customer}").replace(
         "FROM events", "FROM {events}")

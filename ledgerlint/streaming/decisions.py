@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlint.sources.decisions import latest_decisions
 
 CHANGE_SCHEMA = "record_id string, reviewed_at timestamp, seq long, decision string"
-STATE_SCHEMA = "reviewed_at timestamp, seq long"
-
-
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per record: remember the order of the latest decision, tell when it moves on."""
-    best = state.get if state.exists else None
-    row = None
-    for batch in batches:
-        last = batch.sort_values(["reviewed_at", "seq"]).iloc[-1]
-        order = (last["reviewed_at"].to_pydatetime(), int(last["seq"]))
-        if best is None or order > best:
-            best, row = order, last
-    if row is not None:
-        state.update(best)
-        yield row.to_frame().T[["record_id", "reviewed_at", "seq", "decision"]].infer_objects()
 
 
 def decision_changes(log: DataFrame) -> DataFrame:
-    """Decisions that replaced an earlier one of the same record. One small state per record and
-    no watermark: a late decision is weighed by its time, never dropped."""
+    """The latest decision of each record, for update mode: one small state per record and no
+    watermark, so a late decision is weighed by its time, never dropped."""
     log = log.selectExpr("record_id", "cast(reviewed_at AS timestamp) AS reviewed_at", "seq", "decision")
-    return log.groupBy("record_id").applyInPandasWithState(
-        _newest, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    latest = F.max_by("decision", F.struct("reviewed_at", "seq")).alias("decision")
+    order = F.max(F.struct("reviewed_at", "seq")).alias("at")
+    return log.groupBy("record_id").agg(order, latest).select(
+        "record_id", "at.reviewed_at", "at.seq", "decision")
 
 
 def write_changes(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (changes.writeStream.format("parquet").outputMode("append")
-            .option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Write the records each micro-batch touched; a batch run again replaces its own folder."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (changes.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    return latest_decisions(spark.read.schema(CHANGE_SCHEMA).parquet(out))
+    return latest_decisions(spark.read.schema(CHANGE_SCHEMA).parquet(out).select(
+        "record_id", "reviewed_at", "seq", "decision"))
