@@ -16,10 +16,11 @@ _CELLS = 4_000_000  # padded cells of one vectorised step
 
 
 def _codes(texts: list[str], pad: int) -> np.ndarray:
-    width = max(1, max(map(len, texts)))
-    out = np.full((len(texts), width), pad, dtype=np.int32)
-    for row, text in zip(out, texts):
-        row[: len(text)] = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
+    """Code points, one padded row per text; all texts are encoded at once."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    out = np.full((len(texts), max(1, lengths.max())), pad, dtype=np.int32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer(
+        "".join(texts).encode("utf-32-le"), dtype=np.int32)
     return out
 
 
@@ -35,18 +36,18 @@ def _lcs_block(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def lcs_lengths(left: pd.Series, right: pd.Series) -> pd.Series:
-    lengths = left.str.len() + right.str.len()
-    result = pd.Series(np.nan, index=left.index)
-    order = lengths.dropna().sort_values(kind="stable").index
+    lengths = (left.str.len() + right.str.len()).to_numpy(dtype=float, na_value=np.nan)
+    result = np.full(len(lengths), np.nan)
+    order = np.argsort(lengths, kind="stable")[: np.count_nonzero(~np.isnan(lengths))]
+    width = lengths[order] + 1
     start = 0
-    while start < len(order):
-        stop = start + 1  # pairs of similar length share a padded block
-        while stop < len(order) and (stop + 1 - start) * (lengths[order[stop]] + 1) <= _CELLS:
-            stop += 1
+    while start < len(order):  # pairs of similar length share a padded block
+        cells = np.arange(1, len(order) - start + 1) * width[start:]
+        stop = start + max(1, int(np.searchsorted(cells, _CELLS, side="right")))
         rows = order[start:stop]
-        result.loc[rows] = _lcs_block(left.loc[rows].tolist(), right.loc[rows].tolist())
+        result[rows] = _lcs_block(left.iloc[rows].tolist(), right.iloc[rows].tolist())
         start = stop
-    return result
+    return pd.Series(result, index=left.index)
 
 
 def _lcs_batch(left: pd.Series, right: pd.Series) -> pd.Series:
