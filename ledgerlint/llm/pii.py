@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in Spark expressions only (operator 7).
 
-Four kinds are found by their form. They are the seeds: the words left and right of single-word
-seeds are lexical patterns, and other identifier-like words met in the same patterns are instances
-to be judged. Patterns and instances score each other in rounds over their graph: a pattern by the
+Four kinds are found by their form. They are the seeds, whether or not they hold blanks or touch
+other signs: the words left and right of seeds are lexical patterns, and other identifier-like words
+met in the same patterns are instances to be judged. Patterns and instances score each other in rounds over their graph: a pattern by the
 mean score of its distinct instances, an instance by its best well-supported pattern. Instances
 that reach the confidence are spans of the kind ``id``.
 
@@ -30,6 +30,7 @@ FORMS = {
 TRIGGERS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = rf"(?<!{NOT_WS}){NOT_WS}*[0-9@]{NOT_WS}*+"
 LONGEST_TOKEN, CONTEXT = 100, 64  # characters
+SEED, GLUE, BLANK = "\ue000", "\ue001", "\ue002"  # marks in texts that only context words are taken from
 KEY = ["doc_id", "h", "n"]
 
 
@@ -69,8 +70,43 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tidy(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"^[^\p{L}]++|(?<![^\p{L}:=])[^\p{L}:=]++$", ""))
+
+
+def _unmarked(c: Column) -> Column:
+    return F.translate(c, SEED + GLUE + BLANK, "\ufffd" * 3)
+
+
+def _context(before: Column, after: Column) -> list[Column]:
+    """left, right and left2 from the words before and after, joined by blanks."""
+    return [_tidy(F.substring_index(before, " ", -1)).alias("left"),
+            _tidy(F.substring_index(after, " ", 1)).alias("right"),
+            _tidy(F.when(F.contains(before, F.lit(" ")), F.substring_index(before, " ", -2)).otherwise(F.lit(""))).alias("left2")]
+
+
+def _around(pieces: Column, matches: Column, rest: Column) -> Column:
+    """(before, after) of each match: the two words before and the word after it in the text. Matches
+    are words of their own, and signs that touch them are no words."""
+    marked = F.concat(F.array_join(F.zip_with(pieces, matches, lambda p, m: F.concat(
+        _unmarked(p), F.lit(f"{GLUE} {SEED}"), F.translate(m, " ", BLANK), F.lit(f" {GLUE}"))), ""), _unmarked(rest))
+    signs = lambda t: F.contains(t, F.lit(GLUE)) & ~t.rlike(r"[\p{L}\p{N}]")
+    shown = lambda t: F.translate(t, BLANK + SEED + GLUE, " ")
+    return _let(F.filter(F.split(marked, rf"[{WS}]+"), lambda t: (t != "") & ~signs(t)), lambda words: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.startswith(F.get(words, i), F.lit(SEED))),
+        lambda i: F.struct(
+            shown(F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))).alias("before"),
+            shown(F.coalesce(F.get(words, i + 1), F.lit(""))).alias("after"))))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """KEY and, for each kind and the tokens, the matches in order with the piece before each."""
+    """KEY and, for each kind and the tokens, the matches in order with the piece before each; valid
+    matches with their text and the words around them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns(
         {"h": F.xxhash64("text"), "n": F.length("text")})
@@ -82,9 +118,20 @@ def _found(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns(matched)
     def placed(kind: str) -> Column:
         matches = F.col(f"m_{kind}")
-        pieces = F.slice(F.split("text", FORMS[kind], -1), 1, F.size(matches))
-        return F.when(F.size(matches) > 0, F.zip_with(pieces, matches, lambda p, m: F.struct(
-            F.length(p).alias("p"), F.length(m).alias("l"), valid(kind, m).alias("ok")))).alias(kind)
+
+        def match(x: Column) -> Column:
+            return F.struct(F.length(x["p"]).alias("p"), F.length(x["m"]).alias("l"), x["ok"].alias("ok"), F.when(
+                x["ok"], F.struct(x["m"].alias("word"), *_context(x["around"]["before"], x["around"]["after"]))).alias("seed"))
+
+        def with_words(parts: Column) -> Column:
+            pieces, rest = F.slice(parts, 1, F.size(matches)), F.element_at(parts, -1)
+            judged = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m"), valid(kind, m).alias("ok")))
+            none = F.array().cast("array<struct<before:string,after:string>>")
+            return _let(judged, lambda js: F.transform(F.zip_with(
+                js, F.when(F.exists(js, lambda j: j["ok"]), _around(pieces, matches, rest)).otherwise(none),
+                lambda j, a: F.struct(j["p"].alias("p"), j["m"].alias("m"), j["ok"].alias("ok"), a.alias("around"))), match))
+
+        return F.when(F.size(matches) > 0, _let(F.split("text", FORMS[kind], -1), with_words)).alias(kind)
 
     out = [placed(k) for k in FORMS]
     sides = F.transform(F.split("text", TOKEN, -1), lambda p: F.struct(
@@ -104,19 +151,26 @@ def _starts(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """(KEY, kind, start, stop) of the valid matches."""
+    """(KEY, kind, start, stop, seed) of the valid matches; seed has their text and context."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in FORMS])
     some = F.greatest(*[F.coalesce(F.size(k), F.lit(-1)) for k in FORMS])
     rows = (found.where(some > 0).select(*KEY, F.explode(kinds).alias("k"))
             .select(*KEY, "k.kind", F.posexplode("k.found").alias("i", "x"))
-            .select(*KEY, "kind", "i", "x.p", "x.l", "x.ok").distinct())
+            .select(*KEY, "kind", "i", "x.p", "x.l", "x.ok", "x.seed").distinct())
     return _starts(rows, [*KEY, "kind"]).where("ok").select(
-        *KEY, "kind", "start", (F.col("start") + F.col("l")).alias("stop"))
+        *KEY, "kind", "start", (F.col("start") + F.col("l")).alias("stop"), "seed")
+
+
+def seeds(base: DataFrame) -> DataFrame:
+    """(KEY, start, stop, word, left, right, left2) of the base spans that lie in no other one."""
+    before = Window.partitionBy(*KEY).orderBy("start", F.desc("stop"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max("stop").over(before) >= F.col("stop"), F.lit(False))
+    return base.withColumn("inside", inside).where(~F.col("inside")).select(*KEY, "start", "stop", "seed.*")
 
 
 def occurrences(found: DataFrame, base: DataFrame, spec: BootSpec) -> DataFrame:
     """(KEY, start, stop, word, left, right, left2, seed): identifier-like words outside the base
-    spans, and words that are base spans (seeds), with the words around them."""
+    spans, and the base spans themselves (seeds), with the words around them."""
     rows = (found.where(F.size("token") > 0).select(*KEY, F.posexplode("token").alias("i", "x"))
             .select(*KEY, "i", "x.*").distinct())
     rows = _starts(rows, KEY).where(F.col("m") != "")
@@ -124,19 +178,19 @@ def occurrences(found: DataFrame, base: DataFrame, spec: BootSpec) -> DataFrame:
     rows = rows.withColumn("start", F.col("start") + lead).withColumn(
         "word", F.regexp_replace("m", r"^[\"'(\[<{]++|[\"')\]>}.,;:!?]++$", ""))
     rows = rows.withColumn("stop", F.col("start") + F.length("word")).where(F.length("word") >= spec.length)
-    tidy = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}]+|[^\p{L}:=]+$", ""))
     rows = rows.withColumns({
-        "left": tidy(F.regexp_extract("before", rf"({NOT_WS}++)[{WS}]++$", 1)),
-        "left2": tidy(F.regexp_extract("before", rf"({NOT_WS}++[{WS}]++{NOT_WS}++)[{WS}]++$", 1)),
-        "right": tidy(F.regexp_extract("after", rf"^[{WS}]++({NOT_WS}++)", 1))})
+        "left": _tidy(F.regexp_extract("before", rf"({NOT_WS}++)[{WS}]++$", 1)),
+        "left2": _tidy(F.regexp_extract("before", rf"({NOT_WS}++[{WS}]++{NOT_WS}++)[{WS}]++$", 1)),
+        "right": _tidy(F.regexp_extract("after", rf"^[{WS}]++({NOT_WS}++)", 1))})
     spans = base.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(*[F.col(k).alias(f"_{k}") for k in KEY], "spans")
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))
-    joined = joined.withColumn("seed", F.exists(spans, lambda s: (s["start"] == F.col("start")) & (s["stop"] == F.col("stop"))))
     apart = ~F.exists(spans, lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    like = (F.length(_digits(F.col("word"))) >= spec.digits)
-    return joined.where(F.col("seed") | (apart & like)).select(*KEY, "start", "stop", "word", "left", "right", "left2", "seed")
+    like = F.length(_digits(F.col("word"))) >= spec.digits
+    columns = [*KEY, "start", "stop", "word", "left", "right", "left2"]
+    return joined.where(apart & like).select(*columns, F.lit(False).alias("seed")).unionByName(
+        seeds(base).select(*columns, F.lit(True).alias("seed")))
 
 
 def discovered(words: DataFrame, spec: BootSpec) -> DataFrame:
@@ -167,7 +221,7 @@ def spans(docs: DataFrame, spec: BootSpec = BootSpec()) -> tuple[DataFrame, Data
     words = materialise(occurrences(found, base, spec), "pii-words")
     new = words.where(~F.col("seed")).join(discovered(words, spec), "word").select(
         *KEY, F.lit("id").alias("kind"), "start", "stop")
-    return found.select(*KEY), base.unionByName(new.distinct())
+    return found.select(*KEY), base.drop("seed").unionByName(new.distinct())
 
 
 def _by_document(all_spans: DataFrame) -> DataFrame:

@@ -206,6 +206,18 @@ def test_contexts_find_more(docs):
     assert clear[i]["text"] == "via mail [ID], or" and clear[3]["text"] == "wire via mail [EMAIL] or pay"
 
 
+def test_spans_with_blanks_or_signs_are_seeds(docs):
+    texts = [f"ring me under +1 (743) 555-38{k:02d} tonight" for k in range(6)] + [f"from host 10.0.0.{k}###\nsays" for k in range(6)]
+    texts += ["me under AB-1234-77 please", "host CD-5678-99 x", "by AB-1234-78 please"]
+    found = by_id(pii.pii_digest(docs(texts)))
+    assert [found[i]["spans"] for i in (12, 13, 14)] == ["id:9:19", "id:5:15", ""]
+    rows = docs(["id, (+1 (743) 555-3824), +1 (743) 555-3825 see mail:a@b.example;c@d.example end 1.2.3.4@e.example"])
+    spans = pii.seeds(pii.base_spans(pii._found(rows)))
+    assert [tuple(r) for r in spans.orderBy("start").select("word", "left", "right", "left2").collect()] == [
+        ("+1 (743) 555-3824", "id", "", ""), ("+1 (743) 555-3825", "", "see", ""), ("a@b.example", "mail:", "c@d.example", "see mail:"),
+        ("c@d.example", "a@b.example", "end", "mail: a@b.example"), ("1.2.3.4@e.example", "end", "", "c@d.example end")]
+
+
 def plain_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     s = [b" ".join(w[i: i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
