@@ -29,7 +29,6 @@ FORMS = {
 }
 TRIGGERS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = rf"(?<!{NOT_WS}){NOT_WS}*[0-9@]{NOT_WS}*+"
-LONGEST_TOKEN, CONTEXT = 100, 64  # characters
 SEED, GLUE, BLANK = "\ue000", "\ue001", "\ue002"  # marks in texts that only context words are taken from
 KEY = ["doc_id", "h", "n"]
 
@@ -104,7 +103,25 @@ def _around(pieces: Column, matches: Column, rest: Column) -> Column:
             shown(F.coalesce(F.get(words, i + 1), F.lit(""))).alias("after"))))
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _tokens(spec: BootSpec) -> Column:
+    """The words with a digit or ``@`` in order, with the length of the piece before each; those long
+    enough with enough digits also with their text and the words around them in the whole text."""
+    def token(words: Column, i: Column) -> Column:
+        m = F.get(words, i)
+        before = _unmarked(F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1)))
+        after = _unmarked(F.coalesce(F.get(words, i + 1), F.lit("")))
+        like = (F.length(m) >= spec.length) & (F.length(_digits(m)) >= spec.digits)
+        return F.struct(F.length(m).alias("l"), F.when(like, F.struct(m.alias("m"), *_context(before, after))).alias("x"))
+
+    words = F.filter(F.split("text", rf"[{WS}]+"), lambda w: w != "")
+    found = _let(words, lambda ws: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).rlike("[0-9@]")), lambda i: token(ws, i)))
+    pieces = F.transform(F.split("text", TOKEN, -1), F.length)
+    return F.when(F.col("text").rlike("[0-9@]"), _let(found, lambda ts: F.zip_with(F.slice(pieces, 1, F.size(ts)), ts, lambda p, t: F.struct(
+        p.alias("p"), t["l"].alias("l"), t["x"].alias("x")))))
+
+
+def _found(docs: DataFrame, spec: BootSpec = BootSpec()) -> DataFrame:
     """KEY and, for each kind and the tokens, the matches in order with the piece before each; valid
     matches with their text and the words around them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -114,7 +131,6 @@ def _found(docs: DataFrame) -> DataFrame:
     cases = {k: F.col("text").contains(t) & some_digit if t in (".", "+") else F.col("text").contains(t) if t else some_digit
              for k, t in TRIGGERS.items()}
     matched = {f"m_{k}": F.when(cases[k], F.regexp_extract_all("text", F.lit(FORMS[k]), F.lit(0))) for k in FORMS}
-    matched["m_token"] = F.when(some_digit | F.col("text").contains("@"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     rows = rows.withColumns(matched)
     def placed(kind: str) -> Column:
         matches = F.col(f"m_{kind}")
@@ -133,15 +149,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
         return F.when(F.size(matches) > 0, _let(F.split("text", FORMS[kind], -1), with_words)).alias(kind)
 
-    out = [placed(k) for k in FORMS]
-    sides = F.transform(F.split("text", TOKEN, -1), lambda p: F.struct(
-        F.length(p).alias("p"), F.right(p, F.lit(CONTEXT)).alias("r"), F.left(p, F.lit(CONTEXT)).alias("f")))
-    rows = rows.withColumn("sides", F.when(F.size("m_token") > 0, sides))
-    token = F.when(F.size("m_token") > 0, F.transform(F.col("m_token"), lambda m, i: F.struct(
-        F.get("sides", i)["p"].alias("p"), F.length(m).alias("l"),
-        F.when(F.length(m) <= LONGEST_TOKEN, m).otherwise(F.lit("")).alias("m"),
-        F.get("sides", i)["r"].alias("before"), F.get("sides", i + 1)["f"].alias("after")))).alias("token")
-    return rows.select(*KEY, *out, token)
+    return rows.select(*KEY, *[placed(k) for k in FORMS], _tokens(spec).alias("token"))
 
 
 def _starts(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -171,17 +179,14 @@ def seeds(base: DataFrame) -> DataFrame:
 def occurrences(found: DataFrame, base: DataFrame, spec: BootSpec) -> DataFrame:
     """(KEY, start, stop, word, left, right, left2, seed): identifier-like words outside the base
     spans, and the base spans themselves (seeds), with the words around them."""
-    rows = (found.where(F.size("token") > 0).select(*KEY, F.posexplode("token").alias("i", "x"))
-            .select(*KEY, "i", "x.*").distinct())
-    rows = _starts(rows, KEY).where(F.col("m") != "")
+    rows = (found.where(F.size("token") > 0).select(*KEY, F.posexplode("token").alias("i", "t"))
+            .select(*KEY, "i", "t.*").distinct())
+    rows = _starts(rows, KEY).where(F.col("x").isNotNull()).select(*KEY, "start", "x.*")
     lead = F.length(F.regexp_extract("m", r"^[\"'(\[<{]*+", 0))
+    last = r"[\"')\]>}.,;:!?]"
     rows = rows.withColumn("start", F.col("start") + lead).withColumn(
-        "word", F.regexp_replace("m", r"^[\"'(\[<{]++|[\"')\]>}.,;:!?]++$", ""))
+        "word", F.regexp_replace("m", rf"^[\"'(\[<{{]++|(?<!{last}){last}++$", ""))
     rows = rows.withColumn("stop", F.col("start") + F.length("word")).where(F.length("word") >= spec.length)
-    rows = rows.withColumns({
-        "left": _tidy(F.regexp_extract("before", rf"({NOT_WS}++)[{WS}]++$", 1)),
-        "left2": _tidy(F.regexp_extract("before", rf"({NOT_WS}++[{WS}]++{NOT_WS}++)[{WS}]++$", 1)),
-        "right": _tidy(F.regexp_extract("after", rf"^[{WS}]++({NOT_WS}++)", 1))})
     spans = base.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(*[F.col(k).alias(f"_{k}") for k in KEY], "spans")
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")), "left")
@@ -216,7 +221,7 @@ def discovered(words: DataFrame, spec: BootSpec) -> DataFrame:
 def spans(docs: DataFrame, spec: BootSpec = BootSpec()) -> tuple[DataFrame, DataFrame]:
     """(keys, spans): KEY of every row; (KEY, kind, start, stop) of all spans of distinct documents,
     in code points, end exclusive. KEY is doc_id, a hash of the text and its length."""
-    found = materialise(_found(docs), "pii-found")
+    found = materialise(_found(docs, spec), "pii-found")
     base = materialise(base_spans(found), "pii-base")
     words = materialise(occurrences(found, base, spec), "pii-words")
     new = words.where(~F.col("seed")).join(discovered(words, spec), "word").select(

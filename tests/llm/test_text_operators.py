@@ -218,6 +218,15 @@ def test_spans_with_blanks_or_signs_are_seeds(docs):
         ("c@d.example", "a@b.example", "end", "mail: a@b.example"), ("1.2.3.4@e.example", "end", "", "c@d.example end")]
 
 
+def test_contexts_of_long_words_far_words_and_words_with_digits(docs):
+    key = "1234-" + "k" * 300
+    texts = [f"token{' ' * 90}u{k}@mail.example" for k in range(6)] + [f"acct#2 v{k}@mail.example" for k in range(6)]
+    texts += [f"token {key}", f"token{' ' * 90}AB-1234-77", "acct#2 99887766", "room#3 99887766x", "q4 acct#2 (1234567) acct#2 7654321."]
+    found = by_id(pii.pii_digest(docs(texts)))
+    assert [found[i]["spans"] for i in range(12, 17)] == [
+        f"id:6:{6 + len(key)}", "id:95:105", "id:7:15", "", "id:11:18,id:27:34"]
+
+
 def plain_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     s = [b" ".join(w[i: i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
