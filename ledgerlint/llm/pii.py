@@ -2,9 +2,10 @@
 
 Four kinds are found by their form. They are the seeds, whether or not they hold blanks or touch
 other signs: the words left and right of seeds are lexical patterns, and other identifier-like words
-met in the same patterns are instances to be judged. Patterns and instances score each other in rounds over their graph: a pattern by the
-mean score of its distinct instances, an instance by its best well-supported pattern. Instances
-that reach the confidence are spans of the kind ``id``.
+met in the same patterns are instances to be judged. Patterns and instances score each other in
+rounds over their graph: a pattern by the mean score of its distinct instances, an instance by its
+best well-supported pattern. Instances that reach the confidence are spans of the kind ``id`` and
+count as seeds when the rounds start again, until no more join.
 
 Positions come from the pieces of a text between its matches: a match starts after all pieces and
 matches before it. Patterns are written so that no text makes them try a place twice.
@@ -35,8 +36,8 @@ KEY = ["doc_id", "h", "n"]
 
 @dataclass(frozen=True)
 class BootSpec:
-    """``support`` distinct seeds a pattern needs, ``confidence`` an instance, ``rounds`` of scoring,
-    ``digits`` and ``length`` the least of an identifier-like word."""
+    """``support`` distinct seeds a pattern needs, ``confidence`` an instance, ``rounds`` of scoring from
+    one set of trusted words, ``digits`` and ``length`` the least of an identifier-like word."""
 
     support: int = 5
     confidence: float = 0.9
@@ -199,23 +200,31 @@ def occurrences(found: DataFrame, base: DataFrame, spec: BootSpec) -> DataFrame:
 
 
 def discovered(words: DataFrame, spec: BootSpec) -> DataFrame:
-    """The words (not seeds) that reach the confidence, from rounds over the pattern-instance graph."""
+    """The words (not seeds) that reach the confidence. Rounds over the pattern-instance graph start
+    from the trusted words; those that reach the confidence are trusted as seeds from then on, also
+    for the support of patterns, and the rounds start again, until no word joins. A pattern joins only
+    over words that have, so then none of them does either."""
     patterns = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("left", "right", "left2")])
-    links = (words.select("word", "seed", F.explode(patterns).alias("pattern")).where(F.col("pattern").isNotNull())
-             .groupBy("pattern", "word").agg(F.max("seed").alias("seed")))
-    links = materialise(links, "pattern-instances")
-    scores = links.groupBy("word").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for k in range(spec.rounds):
-        scored = links.join(scores, "word")
-        strong = scored.groupBy("pattern").agg(
-            F.avg("score").alias("trust"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= spec.support)
-        best = links.join(strong, "pattern").groupBy("word").agg(
-            F.max(F.col("seed").cast("double")).alias("own"), F.max("trust").alias("trust"))
-        scores = links.groupBy("word").agg(F.max(F.col("seed").cast("double")).alias("own")).join(
-            best.select("word", "trust"), "word", "left").select(
-            "word", F.greatest("own", F.coalesce("trust", F.lit(0.0))).alias("score"), (F.col("own") == 1).alias("is_seed"))
-        scores = materialise(scores, f"instance-scores-{k}")
-    return scores.where(~F.col("is_seed") & (F.col("score") >= spec.confidence)).select("word")
+    links = words.select("word", "seed", F.explode(patterns).alias("pattern")).where(F.col("pattern").isNotNull())
+    links = materialise(links.groupBy("pattern", "word").agg(F.max("seed").alias("seed")), "pattern-instances")
+    trusted = materialise(links.groupBy("word").agg(F.max("seed").alias("trusted")).withColumn("is_seed", F.col("trusted")), "trusted-0")
+    number, k = trusted.where("trusted").count(), 0
+    while True:
+        own = F.col("trusted").cast("double")
+        scores = trusted.withColumn("score", own)
+        for r in range(spec.rounds):
+            strong = links.join(scores, "word").groupBy("pattern").agg(
+                F.avg("score").alias("trust"), F.count_if("trusted").alias("support")).where(F.col("support") >= spec.support)
+            best = links.join(strong, "pattern").groupBy("word").agg(F.max("trust").alias("trust"))
+            scores = trusted.join(best, "word", "left").select(
+                "word", "trusted", "is_seed", F.greatest(own, F.coalesce("trust", F.lit(0.0))).alias("score"))
+            scores = materialise(scores, f"instance-scores-{k}-{r}")
+        k += 1
+        trusted = materialise(scores.select(
+            "word", (F.col("trusted") | (F.col("score") >= spec.confidence)).alias("trusted"), "is_seed"), f"trusted-{k}")
+        before, number = number, trusted.where("trusted").count()
+        if number == before:
+            return trusted.where("trusted and not is_seed").select("word")
 
 
 def spans(docs: DataFrame, spec: BootSpec = BootSpec()) -> tuple[DataFrame, DataFrame]:

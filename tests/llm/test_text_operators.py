@@ -227,6 +227,16 @@ def test_contexts_of_long_words_far_words_and_words_with_digits(docs):
         f"id:6:{6 + len(key)}", "id:95:105", "id:7:15", "", "id:11:18,id:27:34"]
 
 
+def test_discovered_words_make_patterns(docs):
+    texts = [f"mail u{k}@mail.example ." for k in range(12)]
+    texts += [f"{w} MX-1000{k} ." for w in ("mail", "order") for k in range(8)]
+    texts += [f"{w} OX-2000{k} ." for w in ("order", "badge") for k in range(5)]
+    texts += ["badge ZZ-123456 .", "bus QQ-123456 ."]
+    found = by_id(pii.pii_digest(docs(texts)))
+    assert [bool(found[i]["spans"]) for i in range(len(texts))] == [True] * (len(texts) - 1) + [False]
+    assert found[len(texts) - 2]["spans"] == "id:6:15"
+
+
 def plain_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     s = [b" ".join(w[i: i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
