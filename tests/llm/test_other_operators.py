@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from ledgerlint.llm import toxicity, vectors, warc
+from ledgerlint.llm import simhash, toxicity, vectors, warc
 from ledgerlint.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +125,17 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
         assert {r[0] for r in rows.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, SF).count() == rows.count()
     assert "pipeline" in entry_module.queries() and len([q for q in entry_module.queries() if q.startswith("op")]) == 10
+
+
+def test_one_row_of_each_component_stays(spark):
+    random.seed(6)
+    text = lambda: " ".join("w" + "".join(random.choices("abcdefghij", k=6)) for _ in range(300))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = " ".join(["new", *b.split()[1:]])
+    assert (simhash.fingerprint(b) ^ simhash.fingerprint(near)).bit_count() <= 3
+    rows = [(5, a, "x"), (3, a, "x"), (5, b, "x"), (8, near, "x"), (7, c, "x"), (7, c, "x"), (7, c, "y"), (None, d, "x"), (None, d, "x"),
+            (None, e, "x"), (2, e, "x"), (None, a, "x"), (9, None, "x"), (9, "", "x"), (None, text(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r[0], r[1] or "") for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (7, c), (None, d), (2, e), (9, ""), (None, rows[-1][1])], key=repr)
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), SF).count() == 0
