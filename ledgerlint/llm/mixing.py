@@ -147,10 +147,11 @@ def mixture(docs: DataFrame, spec: MixSpec = MixSpec()) -> tuple[DataFrame, Data
             spark.createDataFrame(sources, "source string, source_size long, target double"))
 
 
-def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
+def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), whole: bool = False) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time a document is taken, a partition
-    per shard in an order shuffled by hash. A document taken in part keeps its first words; documents
-    without words belong to no mix."""
+    per shard in an order shuffled by hash. A document taken in part keeps its first words;
+    with ``whole`` it is taken whole or not at all, whichever is nearer to the target. Documents without
+    words belong to no mix."""
     rows, draws, _ = mixture(docs, spec)
     placed = docs.withColumns({"_h": _place(spec), "_size": _size()})
     names = {c: f"_own_{c}" for c in ("size", "h", "block", "copy", "shard", "share", "words") if c in docs.columns}
@@ -164,7 +165,8 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
         found = [next(itertools.islice(re.finditer(WORDS, t), n - 1, None)).end() for t, n in zip(texts, words)]
         return pd.Series([t[:end] for t, end in zip(texts, found)], dtype=object)
 
-    cut = taken.where("words < size").withColumn("text", first_words("text", "words"))
+    cut = taken.where("words < size")
+    cut = cut.where("size - words <= words") if whole else cut.withColumn("text", first_words("text", "words"))
     out = taken.where("words = size").unionByName(cut)
     n = _shards(docs, spec)
     order = F.xxhash64("h", "copy", F.lit(spec.seed + 1))

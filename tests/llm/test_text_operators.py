@@ -169,6 +169,19 @@ def test_water_fill_and_tree():
     assert counts.sum(axis=0).tolist() == [7, 0, 30] and set(counts.sum(axis=1)) <= {7, 8}
 
 
+def test_mixed_documents_can_stay_whole(docs):
+    random.seed(5)
+    texts = [" ".join(f"{i}w{k}" for k in range(random.randint(1, 90))) for i in range(60)]
+    rows = docs(texts, source=[random.choice("abc") for _ in texts])
+    cut, whole = ([r["text"] for r in mixing.mixed_documents(rows, whole=w).collect()] for w in (False, True))
+    assert any(t not in texts for t in cut) and all(t in texts for t in whole)
+    part = collections.Counter(t for t in cut if t not in texts)
+    full = lambda t: next(x for x in texts if x.startswith(t + " "))
+    rounded = collections.Counter(t for t in cut if t in texts) + collections.Counter(
+        full(t) for t in part.elements() if 2 * len(t.split()) >= len(full(t).split()))
+    assert collections.Counter(whole) == rounded
+
+
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
