@@ -136,8 +136,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_ROWS, tr
     spark = docs.sparkSession
     training = _training(docs, labels, sample)
     lexicon = learned_lexicon(training.where("part = 0"))
-    known = materialise(text_features(training.where("part > 0"), lexicon, ["doc_id", "toxic", "part"])
-                        .coalesce(1).sortWithinPartitions("doc_id"), "toxicity-rows")  # LABELLED_ROWS at most
+    known = materialise(text_features(training.where("part > 0"), lexicon, ["doc_id", "toxic", "part"]), "toxicity-features")
+    known = materialise(known.repartition(1).sortWithinPartitions("doc_id", "toxic", "part", *FEATURES), "toxicity-rows")  # numbers only
     sides = {(r["part"], r["toxic"]): r["count"] for r in known.groupBy("part", "toxic").count().collect()}
     scored = text_features(docs, lexicon, ["doc_id"])
     marks = ["doc_id", held_out(F.col("doc_id")).alias("held_out")]

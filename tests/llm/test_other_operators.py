@@ -90,6 +90,19 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(none) == len(rows) and {r["score"] for r in none} == {0.0}
 
 
+def test_toxicity_reads_texts_in_parallel(spark, monkeypatch):
+    seen = []
+
+    def watched(df, label, write=toxicity.materialise):
+        seen.append(("MapInArrow" in df._jdf.queryExecution().toString(), df.rdd.getNumPartitions()))
+        return write(df, label)
+
+    monkeypatch.setattr(toxicity, "materialise", watched)
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(60)], "doc_id long, text string").repartition(4)
+    toxicity.toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")).count()
+    assert [n > 1 for texts, n in seen if texts] == [True]
+
+
 def test_warc(spark, tmp_path):
     page = "<html><head><title>A &amp; B</title><script>x<1</script></head><body><p>One&nbsp;<a class=c href='/u?a=1&amp;b=2'>two</a><br>three<!-- no --></p></body></html>"
     rows = [(1, "http://a/", page, "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX-Own: yes\r\n", 7), (2, None, None, None, None, 7), (3, "u", "x" * 300000 + "<", None, None, 7), (1, "http://a/", page, "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX-Own: yes\r\n", 7)]
