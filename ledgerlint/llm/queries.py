@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlint.llm import bpe, mixing, pii, quality, repeats, simhash, tokenfile, toxicity, vectors, warc
+from ledgerlint.llm import (
+    bpe, centroids, infilling, mixing, packing, pii, quality, repeats, simhash, tokenfile, toxicity, vectors, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,8 +55,21 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_repeated_strings, op3_quality_list, op4_mix, op5_bpe_automaton, op6_embedding_cells,
-    op7_pii_contexts, op8_simhash_balls, op9_toxicity, op10_warc_derivatives)}
+    op7_pii_contexts, op8_simhash_balls, op9_toxicity, op10_warc_derivatives,
+    op11_heap_centroids, op12_slack_packing, op13_infilling)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_heap_centroids": centroids.cluster_sql(), "op13_infilling": infilling.infill_sql()}
