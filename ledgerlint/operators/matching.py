@@ -22,11 +22,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlint.functions import similarity as sim
 from ledgerlint.functions.text import normalised, strip, text_or_empty
+from ledgerlint.operators import claims
 from ledgerlint.operators.joins import hot_only, lookup
 from ledgerlint.sources.tables import materialise
 from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
@@ -298,43 +298,9 @@ def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once
 
 # ---------------------------------------------------------------------------------- claims
 
-def _fold(edges: pd.DataFrame) -> pd.DataFrame:
-    """Claims of one block from its few edges, in record order."""
-    claimed: dict[int, int] = {}
-    for left, right in edges[["left", "right"]].sort_values(["left", "right"]).itertuples(index=False):
-        if left not in claimed and right not in claimed:
-            claimed[right] = left
-    return pd.DataFrame({"vid": list(claimed), "leader": list(claimed.values())}, dtype="int64")
-
-
 def resolve_claims(edges: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
-    """(vid, leader) of every claimed node of a written edge table (block, left, right).
-
-    While some block has many edges, all blocks are worked on in rounds: a node without an open
-    earlier neighbour leads, its neighbours are claimed and leave with their edges. Once no block
-    has more than ``fold_edges`` left they are closed by one pass per block. Who is claimed being
-    known, the claiming leader is the lowest one among all neighbours.
-    """
-    open_edges, taken = edges, []
-    while True:
-        most = open_edges.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if (most or 0) <= spec.fold_edges:
-            rest = open_edges.select("block", "left", "right").groupBy("block").applyInPandas(
-                _fold, "vid long, leader long")
-            if not taken:
-                return rest
-            taken.append(rest.select("vid"))
-            break
-        preceded = open_edges.select(F.col("right").alias("left")).distinct()
-        claimed = materialise(open_edges.join(preceded, "left", "left_anti")
-                              .select(F.col("right").alias("vid")).distinct(), "claimed")
-        taken.append(claimed)
-        open_edges = materialise(
-            open_edges.join(claimed.withColumnRenamed("vid", "left"), "left", "left_anti")
-            .join(claimed.withColumnRenamed("vid", "right"), "right", "left_anti"), "edges")
-    claimed = reduce(DataFrame.unionByName, taken)
-    leading = edges.join(claimed.withColumnRenamed("vid", "left"), "left", "left_anti")
-    return leading.groupBy(F.col("right").alias("vid")).agg(F.min("left").alias("leader"))
+    """(vid, leader) of every claimed node of a written edge table; see :mod:`claims`."""
+    return claims.resolve_claims(edges, spec.fold_edges)
 
 
 def with_slices(nodes: DataFrame, largest: int, spec: MatchSpec = MatchSpec()) -> tuple[DataFrame, int]:
@@ -378,18 +344,18 @@ def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     found = []
     for step in range(last + 1):
         now = waiting.where(F.col("slice") == step)
-        claims = materialise(
+        own = materialise(
             resolve_claims(materialise(edges_of(now, now, True), "edges"), spec), "claims")
-        found.append(claims)
+        found.append(own)
         if step == last:
             break
-        leaders = now.join(claims, "vid", "left_anti")
+        leaders = now.join(own, "vid", "left_anti")
         later = waiting.where(F.col("slice") > step)
-        claims = materialise(
+        taken = materialise(
             edges_of(leaders, later, False).groupBy(F.col("right").alias("vid"))
             .agg(F.min("left").alias("leader")), "claims")
-        found.append(claims)
-        waiting = materialise(later.join(claims, "vid", "left_anti"), "nodes")
+        found.append(taken)
+        waiting = materialise(later.join(taken, "vid", "left_anti"), "nodes")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -403,9 +369,7 @@ def find_duplicates(df: DataFrame, f: Fields = Fields(), spec: MatchSpec = Match
     n_records = n_records or 0
     units = node_keys(units, without_floor > 0)
     nodes = materialise(match_nodes(units), "nodes")
-    claims = claim_nodes(nodes, spec)
-
-    members = nodes.join(claims, "vid", "left").withColumn("leader", F.coalesce("leader", "vid"))
+    members = nodes.join(claim_nodes(nodes, spec), "vid", "left").withColumn("leader", F.coalesce("leader", "vid"))
     stars = members.groupBy("leader").agg(F.sum("n").alias("size"), F.max("last_pos").alias("last_pos"))
     stars = stars.where(F.col("size") > 1)
     hot_leaders = hot_only(stars, "size", spec.hot_rows, n_records).select("leader")
