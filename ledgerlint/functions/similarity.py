@@ -84,18 +84,23 @@ def _positions(arr: Column) -> Column:
     return F.transform(arr, lambda _, i: i)
 
 
-def ratio_from_lcs(common: Column, a: Column, b: Column) -> Column:
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / total)
+def ratio_from_lcs(common: Column, a: Column, b: Column, trim: Column | int = 0) -> Column:
+    total = _total(a, b, trim)
+    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * (common + trim) / total)
 
 
 def ratio(a: Column, b: Column) -> Column:
     return ratio_from_lcs(lcs(a, b), a, b)
 
 
-def reaches(common: Column, a: Column, b: Column, threshold: int) -> Column:
-    """``ratio >= threshold`` decided in integers, so equality is never lost to rounding."""
-    return F.lit(200) * common >= F.lit(threshold) * (F.length(a) + F.length(b))
+def reaches(common: Column, a: Column, b: Column, threshold: int, trim: Column | int = 0) -> Column:
+    """``ratio >= threshold`` decided in integers, so equality is never lost to rounding. ``trim``, here and
+    below, is how many characters of a common beginning and end were cut off both texts beforehand."""
+    return F.lit(200) * (common + trim) >= F.lit(threshold) * _total(a, b, trim)
+
+
+def _total(a: Column, b: Column, trim: Column | int) -> Column:
+    return F.length(a) + F.length(b) + 2 * (F.lit(trim) if isinstance(trim, int) else trim)
 
 
 def lengths_allow(len_a: Column, len_b: Column, threshold: int) -> Column:
@@ -103,18 +108,25 @@ def lengths_allow(len_a: Column, len_b: Column, threshold: int) -> Column:
     return F.lit(200) * F.least(len_a, len_b) >= F.lit(threshold) * (len_a + len_b)
 
 
-def _allowed(a: Column, b: Column, threshold: int) -> Column:
+def _allowed(a: Column, b: Column, threshold: int, trim: Column | int) -> Column:
     """The largest indel distance that reaches the threshold; the product is an integer, so the
     quotient floors correctly in doubles."""
-    return F.floor(F.lit(100 - threshold) * (F.length(a) + F.length(b)) / 100).cast("int")
+    return F.floor(F.lit(100 - threshold) * _total(a, b, trim) / 100).cast("int")
 
 
-def edits_allow(a: Column, b: Column, threshold: int) -> Column:
+def edits_allow(a: Column, b: Column, threshold: int, trim: Column | int = 0) -> Column:
     """Necessary: Levenshtein distance never exceeds the indel distance."""
-    return F.call_function("levenshtein", a, b, _allowed(a, b, threshold)) >= 0
+    return F.call_function("levenshtein", a, b, _allowed(a, b, threshold, trim)) >= 0
 
 
-def edits_suffice(a: Column, b: Column, threshold: int) -> Column:
+def edits_suffice(a: Column, b: Column, threshold: int, trim: Column | int = 0) -> Column:
     """Sufficient: the indel distance is at most twice the Levenshtein distance."""
-    half = F.floor(_allowed(a, b, threshold) / 2).cast("int")
+    half = F.floor(_allowed(a, b, threshold, trim) / 2).cast("int")
     return F.call_function("levenshtein", a, b, half) >= 0
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike."""
+    shorter = F.least(F.length(a), F.length(b))
+    differs = F.filter(F.sequence(F.lit(0), shorter), lambda i: (i == shorter) | (F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1))))
+    return F.get(differs, F.lit(0))

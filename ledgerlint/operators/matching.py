@@ -115,6 +115,37 @@ def match_nodes(units: DataFrame) -> DataFrame:
         F.min("vid").alias("vid"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"))
 
 
+def block_shapes(nodes: DataFrame, threshold: int) -> DataFrame:
+    """One row per block, written: its nodes ``n``, those without a floor ``open``, and what fits its matching best.
+
+    ``left`` and ``right`` characters begin and end all its texts alike and are left out of every comparison.
+    ``by_floor`` says that comparing floor by floor makes fewer pairs than comparing each distinct text once;
+    only where all nodes have a floor. ``all_weak`` says that its texts are so short beside what similar ones
+    may differ in that no bigram of them need be shared. ``common`` are its most frequent bigrams, rarest first.
+    """
+    by_floors = nodes.groupBy("block", "floor").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("text").alias("texts"), F.min("text").alias("low"), F.max("text").alias("high"),
+        F.min(F.reverse("text")).alias("low_end"), F.max(F.reverse("text")).alias("high_end"),
+        F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"))
+    shapes = by_floors.groupBy("block").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("floor") == "", F.col("n")).otherwise(0)).alias("open"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs_by_floor"),
+        F.hll_sketch_estimate(F.hll_union_agg("texts")).cast("double").alias("texts"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_end").alias("low_end"), F.max("high_end").alias("high_end"),
+        F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    left = sim.common_prefix(F.col("low"), F.col("high"))
+    shapes = shapes.withColumn("left", left).withColumn(
+        "right", F.least(sim.common_prefix(F.col("low_end"), F.col("high_end")), F.col("shortest") - F.col("left")))
+    by_floor = (F.col("open") == 0) & (F.col("pairs_by_floor") < F.col("texts") * F.col("texts"))
+    weak = F.col("longest") - F.col("left") - F.col("right") - 1 <= _lost_grams(F.col("longest"), threshold)
+    pairs = F.when(by_floor, F.col("pairs_by_floor")).otherwise(F.col("texts") * F.col("texts"))
+    counted = nodes.select("block", F.explode(_bigrams(F.col("text"))).alias("gram")).groupBy("block", "gram").agg(F.count(F.lit(1)).alias("k"))
+    ordered = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram"))).alias("g"))
+    grams = ordered.select("block", F.reverse(F.slice("g", 1, COMMON_GRAMS).getField("gram")).alias("common"))
+    return materialise(shapes.select("block", "n", "open", "left", "right", by_floor.alias("by_floor"), weak.alias("all_weak"),
+                                     pairs.alias("pairs")).join(grams, "block", "left"), "shapes")
+
+
 def _common_grams(texts: DataFrame, text: str) -> Column:
     """The most frequent bigrams of a table, rarest first, as a one-row subquery."""
     common = (texts.select(F.explode(_bigrams(F.col(text))).alias("gram"))
@@ -124,38 +155,54 @@ def _common_grams(texts: DataFrame, text: str) -> Column:
     return F.coalesce(common.scalar(), F.array().cast("array<string>"))
 
 
-def with_keys(df: DataFrame, text: str, threshold: int, out: str, common: Column,
-              inside: Column) -> DataFrame:
-    """Add ``out``, the bigrams of a text by which similar texts meet.
+def with_keys(df: DataFrame, text: str, length: Column, threshold: int, out: str, common: Column,
+              all_weak: Column | None = None) -> DataFrame:
+    """Add ``out``, the bigrams of a text by which similar texts meet; ``length`` is that of the text before its
+    common ends were cut off.
 
     Any two similar texts share a bigram among the first ``lost + 1`` of each in one common
-    order. Bigrams of ``inside``, which all texts compared share, come last in it, frequent ones
-    late; the order and the bigram's hash are packed into one number to be sorted. The hash is
-    the key: a collision only makes a bigram look shared, which the exact tests sort out. A text
-    with no more bigrams than it may lose also gets the key ``WEAK``, so that two such texts
-    meet as well.
+    order, in which frequent ones come late; the order and the bigram's hash are packed into one number to be
+    sorted. The hash is the key: a collision only makes a bigram look shared, which the exact tests sort out.
+    A text with no more bigrams than it may lose also gets the key ``WEAK``, so that two such texts
+    meet as well; where ``all_weak`` it gets no other.
     """
     low = F.lit((1 << 32) - 1)
-    df = df.withColumn("_common", common).withColumn("_inside", inside)
+    df = df.withColumn("_common", F.coalesce(common, F.array().cast("array<string>")))
     packed = F.transform(_bigrams(F.col(text)), lambda g: (
-        F.col("_inside").contains(F.lower(g)).cast("long") * F.lit(1 << 40)
-        + F.array_position("_common", g) * F.lit(1 << 32)
-        + F.hash(g).cast("long").bitwiseAND(low)))
+        F.array_position("_common", g) * F.lit(1 << 32) + F.hash(g).cast("long").bitwiseAND(low)))
     df = df.withColumn("_grams", F.array_sort(packed))
-    lost = _lost_grams(F.length(text), threshold)
+    lost = _lost_grams(length, threshold)
     weak = F.when(F.size("_grams") <= lost, F.array(F.lit(WEAK).cast("long"))).otherwise(
         F.array().cast("array<long>"))
     hashes = F.transform(F.slice("_grams", 1, lost + 1), lambda p: p.bitwiseAND(low))
-    return df.withColumn(out, F.concat(F.array_distinct(hashes), weak)).drop(
-        "_common", "_inside", "_grams")
+    keys = F.concat(F.array_distinct(hashes), weak)
+    if all_weak is not None:
+        keys = F.when(all_weak, F.array(F.lit(WEAK).cast("long"))).otherwise(keys)
+    return df.withColumn(out, keys).drop("_common", "_grams")
+
 
+def shaped(df: DataFrame, shapes: DataFrame, columns: list[str], spec: MatchSpec, total: int | None = None) -> DataFrame:
+    """Add columns of its block's shape to every row; blocks with very many rows are not gathered in one task."""
+    hot = hot_only(shapes, "n", spec.hot_rows, total).select("block")
+    return lookup(df, shapes.select("block", *columns), ["block"], hot, "text")
 
-def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
-    """The distinct (block, text) with their ``keys``."""
-    texts = nodes.select("block", "text").distinct()
-    # few bytes, but much work per text: keep all partitions
-    return with_keys(texts.repartition(_partitions(nodes)), "text", spec.address_threshold, "keys",
-                     _common_grams(texts, "text"), F.col("block"))
+
+def with_parts(nodes: DataFrame, shapes: DataFrame, spec: MatchSpec) -> DataFrame:
+    """Add ``part``, the floor in blocks that are matched floor by floor, else empty."""
+    placed = shaped(nodes, shapes, ["by_floor"], spec)
+    return placed.withColumn("part", F.when(F.col("by_floor"), F.col("floor")).otherwise(F.lit(""))).drop("by_floor")
+
+
+def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec(), shapes: DataFrame | None = None) -> DataFrame:
+    """The distinct (block, part, text) with ``core``, the text without what all texts of its block begin and end
+    with, ``trim``, the number of characters left out, and ``keys``. Nodes without a part have one part."""
+    shapes = block_shapes(nodes, spec.address_threshold) if shapes is None else shapes
+    part = F.col("part") if "part" in nodes.columns else F.lit("").alias("part")
+    texts = shaped(nodes.select("block", part, "text").distinct(), shapes, ["left", "right", "all_weak", "common"], spec)
+    trim = F.col("left") + F.col("right")
+    texts = texts.withColumn("trim", trim).withColumn("core", F.substring("text", F.col("left") + 1, F.length("text") - trim))
+    texts = with_keys(texts, "core", F.length("text"), spec.address_threshold, "keys", F.col("common"), F.col("all_weak"))
+    return texts.select("block", "part", "text", "core", "trim", "keys")
 
 
 def _partitions(df: DataFrame) -> int:
@@ -165,45 +212,51 @@ def _partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------------------------- pairs
 
 def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec(),
-                  itself: bool = False, n_block: int | None = None, scored: bool = True) -> DataFrame:
-    """Pairs (block, text_a, text_b[, score]) of different texts that reach the threshold, each
-    once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
+                  itself: bool = False, n_block: int | None = None, scored: bool = True,
+                  parts: bool = False) -> DataFrame:
+    """Pairs (block, text_a, text_b[, score]), with ``parts`` also their part, of different texts that reach the
+    threshold, each once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
     the order text_a < text_b.
 
     ``n_block``, if given, bounds the texts of a block on either side. Where no block can hold
     more than ``task_pairs`` pairs, no key can either and none is counted.
     Without the score, pairs so close that their edit distance decides are not compared further.
     """
+    on = ["block", "part", "key"]
     sides = []
     for side, texts in (("a", left), ("b", right)):
         sides.append(texts.select(
-            F.col("block"), F.explode("keys").alias("key"), F.col("text").alias(f"text_{side}"),
-            F.length("text").alias(f"len_{side}"), F.col("keys").alias(f"keys_{side}")))
+            "block", "part", F.explode("keys").alias("key"), F.col("text").alias(f"text_{side}"),
+            F.col("core").alias(f"core_{side}"), F.length("text").alias(f"len_{side}"), F.col("keys").alias(f"keys_{side}"),
+            *[F.col("trim")] * (side == "a")))
     a, b = sides
-    on = ["block", "key"]
     if n_block is None or n_block * n_block > spec.task_pairs:
         a, b = split_crowded(a, b, on, "text_a", "text_b", spec)
         on = [*on, *CELL]
-    text_a, text_b, t = F.col("text_a"), F.col("text_b"), spec.address_threshold
+    x, y, trim, t = F.col("core_a"), F.col("core_b"), F.col("trim"), spec.address_threshold
+    is_weak = lambda keys: F.element_at(keys, -1) == WEAK
+    both_weak = is_weak(F.col("keys_a")) & is_weak(F.col("keys_b"))
+    once = F.when(both_weak, F.col("key") == WEAK).otherwise(
+        F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
     # the work is in the comparisons, not in the bytes: keep all partitions
     candidates = a.repartition(_partitions(left), *on).join(b, on).where(
-        (text_a < text_b if itself else text_a != text_b)
-        & sim.lengths_allow(F.col("len_a"), F.col("len_b"), t)
-        & (F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
-        & sim.edits_allow(text_a, text_b, t)).select("block", "text_a", "text_b")
+        (F.col("text_a") < F.col("text_b") if itself else F.col("text_a") != F.col("text_b"))
+        & sim.lengths_allow(F.col("len_a"), F.col("len_b"), t) & once & sim.edits_allow(x, y, t, trim)).select(
+        "block", "part", "text_a", "text_b", "core_a", "core_b", "trim")
+    out = ["block", *["part"] * parts, "text_a", "text_b"]
     if not scored:
-        return _reaching(candidates, text_a, text_b, t)
-    compared = candidates.withColumn("_common", sim.lcs(text_a, text_b))
-    return compared.where(sim.reaches(F.col("_common"), text_a, text_b, t)).withColumn(
-        "score", sim.ratio_from_lcs(F.col("_common"), text_a, text_b)).drop("_common")
+        return _reaching(candidates, x, y, t, trim).select(*out)
+    compared = candidates.withColumn("_common", sim.lcs(x, y))
+    return compared.where(sim.reaches(F.col("_common"), x, y, t, trim)).select(
+        *out, sim.ratio_from_lcs(F.col("_common"), x, y, trim).alias("score"))
 
 
-def _reaching(candidates: DataFrame, x: Column, y: Column, threshold: int) -> DataFrame:
+def _reaching(candidates: DataFrame, x: Column, y: Column, threshold: int, trim: Column | int = 0) -> DataFrame:
     """Candidates that reach the threshold; only unclear ones have their subsequence computed."""
-    sure = candidates.withColumn("_sure", sim.edits_suffice(x, y, threshold))
+    sure = candidates.withColumn("_sure", sim.edits_suffice(x, y, threshold, trim))
     unclear = ~F.col("_sure")
     compared = sure.withColumn("_common", sim.lcs(F.when(unclear, x), F.when(unclear, y)))
-    return compared.where(F.col("_sure") | sim.reaches(F.col("_common"), x, y, threshold)).drop(
+    return compared.where(F.col("_sure") | sim.reaches(F.col("_common"), x, y, threshold, trim)).drop(
         "_sure", "_common")
 
 
@@ -249,20 +302,21 @@ def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: Match
     Equal floors match; different ones never do. Where a floor is absent the descriptions
     decide, provided both have text.
     """
-    of = lambda nodes: texts.join(nodes.select("block", "text").distinct(), ["block", "text"], "left_semi")
-    pairs = (similar_texts(texts, texts, spec, True, n_block, scored) if itself
-             else similar_texts(of(left), of(right), spec, False, n_block, scored))
+    left, right = (n if "part" in n.columns else n.withColumn("part", F.lit("")) for n in (left, right))
+    own = ["block", "part", "text"]
+    of = lambda nodes: texts.join(nodes.select(*own).distinct(), own, "left_semi")
+    pairs = (similar_texts(texts, texts, spec, True, n_block, scored, True) if itself
+             else similar_texts(of(left), of(right), spec, False, n_block, scored, True))
     score = [F.col("score")] if scored else []
-    alike = left.select("block", F.col("text").alias("text_a")).distinct().select(
-        "block", "text_a", F.col("text_a").alias("text_b"), *[F.lit(100.0).alias("score") for _ in score])
+    alike = left.select("block", "part", F.col("text").alias("text_a")).distinct().select(
+        "block", "part", "text_a", F.col("text_a").alias("text_b"), *[F.lit(100.0).alias("score") for _ in score])
     pairs = pairs.unionByName(alike)
-
     once = (F.col("text_a") != F.col("text_b")) | (F.col("a") < F.col("b"))
     ends = [F.col("block"), F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), *score]
     has_floor = F.col("floor") != ""
-    a = left.where(has_floor).select("block", F.col("text").alias("text_a"), "floor", F.col("vid").alias("a"))
-    b = right.where(has_floor).select("block", F.col("text").alias("text_b"), "floor", F.col("vid").alias("b"))
-    edges = (pairs.join(a, ["block", "text_a"]).join(b, ["block", "text_b", "floor"])
+    a = left.where(has_floor).select("block", "part", F.col("text").alias("text_a"), "floor", F.col("vid").alias("a"))
+    b = right.where(has_floor).select("block", "part", F.col("text").alias("text_b"), "floor", F.col("vid").alias("b"))
+    edges = (pairs.join(a, ["block", "part", "text_a"]).join(b, ["block", "part", "text_b", "floor"])
              .where(once).select(*ends))
     if some_without_floor:
         edges = edges.unionByName(_description_edges(left, right, pairs, once, ends, spec))
@@ -277,16 +331,16 @@ def _description_edges(left: DataFrame, right: DataFrame, pairs: DataFrame, once
     common = _common_grams(right.select("by").distinct(), "by")
     sides = []
     for side, nodes in (("a", left), ("b", right)):
-        keyed = with_keys(nodes.where(F.col("by") != ""), "by", t, "keys", common, F.lit(""))
+        keyed = with_keys(nodes.where(F.col("by") != ""), "by", F.length("by"), t, "keys", common)
         sides.append(keyed.select(
-            "block", F.col("text").alias(f"text_{side}"), F.col("floor").alias(f"floor_{side}"),
+            "block", "part", F.col("text").alias(f"text_{side}"), F.col("floor").alias(f"floor_{side}"),
             F.col("by").alias(f"descr_{side}"), F.col("vid").alias(side),
             F.col("keys").alias(f"keys_{side}")))
     a, b = sides
     x, y = F.col("descr_a"), F.col("descr_b")
-    a = pairs.join(a, ["block", "text_a"]).withColumn("key", F.explode("keys_a"))
+    a = pairs.join(a, ["block", "part", "text_a"]).withColumn("key", F.explode("keys_a"))
     b = b.withColumn("key", F.explode("keys_b"))
-    on = ["block", "text_b", "key"]
+    on = ["block", "part", "text_b", "key"]
     a, b = split_crowded(a, b, on, "a", "b", spec)
     met = a.join(b, [*on, *CELL]).where(
         ((F.col("floor_a") == "") | (F.col("floor_b") == "")) & once
@@ -328,16 +382,16 @@ def with_slices(nodes: DataFrame, largest: int, spec: MatchSpec = MatchSpec()) -
 
 def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """(vid, leader) of every claimed node of a written node table."""
-    blocks = nodes.groupBy("block").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("floor") == "").alias("open"))
-    largest, without_floor = blocks.agg(F.max("n"), F.sum("open")).first()
-    texts = materialise(text_keys(nodes, spec), "texts")
+    shapes = block_shapes(nodes, spec.address_threshold)
+    largest, without_floor = shapes.agg(F.max("n"), F.sum("open")).first()
+    nodes = materialise(with_parts(nodes, shapes, spec), "nodes")
+    texts = materialise(text_keys(nodes, spec, shapes), "texts")
     waiting, last = with_slices(nodes, largest or 0, spec)
 
     def edges_of(left, right, itself):
         some = texts
         if itself and last:
-            some = texts.join(left.select("block", "text").distinct(), ["block", "text"], "left_semi")
+            some = texts.join(left.select("block", "part", "text").distinct(), ["block", "part", "text"], "left_semi")
         return match_edges(left, right, some, spec, itself, largest or 0, (without_floor or 0) > 0,
                            scored=False)
 

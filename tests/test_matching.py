@@ -247,3 +247,50 @@ def test_order_not_layout_decides(spark, registry):
         out = matching.find_duplicates(layout).orderBy("pos")
         flags = [r["flag_fuzzy_duplicate"] for r in out.collect()]
         assert flags == [True, True, False]
+
+
+def test_pairs_compared_on_a_long_road_grow_with_its_names(spark):
+    """Pairs that meet under a key, for 500 and 1,000 names of which many are alike: below the square."""
+    rng = random.Random(9)
+    words = ["Harbour", "Front", "Garden", "Tower", "Plaza", "Court", "Central", "North", "Block", "Lodge"]
+    road = " Long Winding Valley Road"
+    names = sorted({" ".join(rng.sample(words, 3)) + f" {rng.randrange(900):03d}" + road for _ in range(4000)})
+    rng.shuffle(names)
+    original, met = matching.similar_texts, []
+
+    def counting(left, right, spec, itself=False, *args, **kw):
+        count = lambda df: df.withColumn("key", F.explode("keys")).groupBy("block", "part", "key").count()
+        pairs = count(left).join(count(right).withColumnRenamed("count", "other"), ["block", "part", "key"])
+        met.append((pairs.agg(F.sum(F.col("count") * F.col("other"))).first()[0] or 0) / (2 if itself else 1))
+        return original(left, right, spec, itself, *args, **kw)
+
+    def compared(n):
+        met.clear()
+        rows = [("r", name, "1", "", i, i, 1) for i, name in enumerate(names[:n])]
+        nodes = spark.createDataFrame(rows, "block string, text string, floor string, by string, vid long, last_pos long, n long")
+        matching.claim_nodes(matching.materialise(nodes, "nodes"), MatchSpec(first_slice=64)).count()
+        return sum(met)
+
+    matching.similar_texts = counting
+    try:
+        few, more = compared(500), compared(1000)
+    finally:
+        matching.similar_texts = original
+    assert more < 3.4 * few
+
+
+def test_common_ends_and_floors_leave_the_result(spark, registry):
+    """A block whose texts begin and end alike, with many floors: compared floor by floor on what differs."""
+    rng = random.Random(3)
+    rows = [dict(building_name=f"Customer#0000{rng.randrange(10**5):05d}", floor_level=rng.choice("123"), location_description=None)
+            for _ in range(150)]
+    shapes = matching.block_shapes(matching.match_nodes(matching.node_keys(matching.match_units(registry(rows)), False)), 90).first()
+    assert (shapes["left"], shapes["right"]) == (len("Customer#0000"), len(" Main Road")) and shapes["by_floor"] and shapes["all_weak"]
+    got = matching.find_duplicates(registry(rows), spec=MatchSpec(first_slice=9, growth=3)).where("flag_fuzzy_duplicate").collect()
+    assert {r["pos"]: r["fuzzy_partner_id"] for r in got} == {i: f"R{j:03d}" for i, j in one_by_one(rows, "literal").items()}
+    for texts in (["same"], ["", "a"], ["ab", "ab"], ["aa", "aaa"], ["é🙂x", "é🙂y"]):
+        df = spark.createDataFrame([("r", t, "1", "", i, i, 1) for i, t in enumerate(texts)],
+                                   "block string, text string, floor string, by string, vid long, last_pos long, n long")
+        s = matching.block_shapes(df, 90).first()
+        assert s["left"] + s["right"] <= min(map(len, texts))
+        assert all(t[:s["left"]] == texts[0][:s["left"]] and t[len(t) - s["right"]:] == texts[0][len(texts[0]) - s["right"]:] for t in texts)
