@@ -7,10 +7,14 @@ that v never follows u again, and every state with an arc for u gets an arc for
 to where v led from there. As all arcs of a label lead to one state, a merge adds one state.
 
 The arcs a gadget takes away are stored, with its place in the order; whether a state has an arc
-follows from the parts of both labels, and arcs once looked up stay in a table. To encode a word the
-one accepted path along its symbols is followed from the left, longest label first. A position
-can only be reached by the one tokenization of the symbols before it, so a position that leads
-nowhere is never tried twice. Decoding emits the labels of the arcs.
+follows from the parts of both labels.
+
+Words come as characters, of which labels are made. As a character sequence has one accepted path only,
+so has each beginning of it, and the automaton over labels becomes a deterministic one over characters:
+its states are the labels that may be under way, each as a place in the tree of labels and the label
+before it. A transition gives the next state and the one label, if any, with which an accepted path may
+end there. Transitions are entered in a table when they are first taken; a word is encoded by one look
+into the table per character, and its path read off backwards. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -19,16 +23,15 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlint.llm.presplit import Presplitter, distinct_words, gathered
+from ledgerlint.llm.presplit import Generations, Presplitter, distinct_words, gathered, spelled
 from ledgerlint.llm.worker import kept
 
-CACHED_PIECES = 100_000  # pieces a worker remembers before it starts anew
+CACHED_PIECES = 80_000  # pieces a worker remembers, the least recently used half going first
 SLICE_ROWS = 1_000  # texts whose distinct words are encoded together
-KNOWN_ARCS = 100_000  # arcs looked up that a worker keeps before it starts anew
+MOST_STATES = 120_000  # states of the table, beyond which it is begun anew
 
 
 class Automaton:
@@ -48,13 +51,52 @@ class Automaton:
             self.alive[i] = label not in joined
         self.left, self.right, self.made = [-1] * self.n, [-1] * self.n, [-1] * self.n
         self.gadget: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         for k, (a, b) in enumerate(pairs):
             self._insert(k, vocab[a], vocab[b], vocab[a + b])
-        self.trie = ahocorasick.Automaton()
+        # the tree of labels: children by character, the label that ends at a node, and the one that ends
+        # there if the word does; a label's characters are counted without the suffix
+        self.kids: list[dict[str, int] | None] = [{}]
+        self.inside, self.at_end, self.chars = [-1], [-1], [0] * self.n
         for label, i in vocab.items():
             if self.alive[i]:
-                self.trie.add_word(label, i)
+                last = bool(suffix) and label.endswith(suffix) and label != suffix
+                body = label[: len(label) - len(suffix)] if last else label
+                self.chars[i] = len(body)
+                (self.at_end if last else self.inside)[self._node(body)] = i
+        if not suffix:
+            self.at_end = self.inside
+        self._forget()
+
+    def _node(self, body: str) -> int:
+        node = 0
+        for c in body:
+            own = self.kids[node]
+            if own is None:
+                own = self.kids[node] = {}
+            if c not in own:
+                own[c] = len(self.kids)
+                self.kids.append(None)
+                self.inside.append(-1)
+                self.at_end.append(-1)
+            node = own[c]
+        return node
+
+    def _forget(self) -> None:
+        """An empty table: per state what is under way, the transitions and the labels at a word's last character."""
+        self.numbers: dict[tuple, int] = {}
+        self.under_way: list[tuple] = []
+        self.table: list[dict[str, tuple[int, int]]] = []
+        self.last: list[dict[str, int]] = []
+        self._number(((0, -1),))
+
+    def _number(self, under_way: tuple) -> int:
+        state = self.numbers.get(under_way)
+        if state is None:
+            state = self.numbers[under_way] = len(self.under_way)
+            self.under_way.append(under_way)
+            self.table.append({})
+            self.last.append({})
+        return state
 
     def _insert(self, k: int, u: int, v: int, uv: int) -> None:
         if self.alive[uv]:
@@ -79,50 +121,56 @@ class Automaton:
             until_last, last = self.made[last], self.right[last]
         return True
 
-    def has_arc(self, last: int, label: int) -> bool:
-        if last < 0:
-            return True
-        if len(self.arcs) >= KNOWN_ARCS:
-            self.arcs.clear()
-        found = self.arcs[last * self.n + label] = self._has_arc(last, label)
+    def _enter(self, state: int, c: str) -> tuple[int, int]:
+        """Enter a transition: (next state, label that ends an accepted path there or -1)."""
+        label, out = -1, []
+        for node, before in self.under_way[state]:
+            at = self.kids[node].get(c) if self.kids[node] else None
+            if at is not None:
+                if self.kids[at] or self.at_end[at] >= 0:
+                    out.append((at, before))
+                if label < 0 <= self.inside[at] and (before < 0 or self._has_arc(before, self.inside[at])):
+                    label = self.inside[at]
+        if label >= 0:
+            out.append((0, label))
+        found = self.table[state][c] = self._number(tuple(out)), label
         return found
 
+    def _enter_last(self, state: int, c: str) -> int:
+        """Enter the label of a path that ends with the word, at its last character."""
+        for node, before in self.under_way[state]:
+            at = self.kids[node].get(c) if self.kids[node] else None
+            if at is not None and self.at_end[at] >= 0 and (before < 0 or self._has_arc(before, self.at_end[at])):
+                self.last[state][c] = self.at_end[at]
+                return self.at_end[at]
+        return -1
+
     def encode(self, piece: str) -> list[int]:
         """The labels of the accepted path along a piece."""
-        n, end = len(piece), len(piece) + len(self.suffix)
-        text = piece + self.suffix
-        label_at, prefix, arcs, base = self.trie.get, self.trie.longest_prefix, self.arcs, self.n
-        path, at, sizes = [], [0], []  # labels, positions, the size of each label taken
-        dead = set()
-        start, last, size = 0, -1, -1
-        while start < n:
-            if size < 0:  # a new position: labels are no longer than this
-                size = prefix(text[start:])
-            while size > 0:
-                stop = start + size
-                if n <= stop < end:  # the last symbol carries the suffix
-                    size = n - 1 - start
-                    continue
-                label = label_at(text[start:stop], None)
-                if label is not None and stop not in dead:
-                    arc = arcs.get(last * base + label)
-                    if arc or arc is None and self.has_arc(last, label):
-                        break
-                size -= 1
-            if size > 0:
-                path.append(label)
-                sizes.append(size)
-                start = n if stop == end else stop
-                at.append(start)
-                last, size = label, -1
-            elif path:  # nowhere to go: back to the last position, shorter labels only
-                dead.add(start)
-                path.pop()
-                at.pop()
-                start, last = at[-1], path[-1] if path else -1
-                size = sizes.pop() - 1
-            else:
+        if not piece:
+            return []
+        if len(self.table) > MOST_STATES:
+            self._forget()
+        state, table, labels = 0, self.table, []
+        for c in piece[:-1]:
+            found = table[state].get(c)
+            if found is None:
+                found = self._enter(state, c)
+            state, label = found
+            labels.append(label)
+        label, at = self.last[state].get(piece[-1]), len(piece)
+        if label is None:
+            label = self._enter_last(state, piece[-1])
+        path, chars = [], self.chars
+        while True:
+            if label < 0:
                 raise ValueError(f"no path for {piece!r}")
+            path.append(label)
+            at -= chars[label]
+            if not at:
+                break
+            label = labels[at - 1]
+        path.reverse()
         return path
 
 
@@ -135,23 +183,30 @@ class Codec:
         self.split = Presplitter(tokenizer_json)
         self.automaton = Automaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.labels = {i: label for label, i in {**model["vocab"], **self.split.added}.items()}
-        self.known: dict = {i: [i] for i in self.split.added.values()}
+        self.memory = Generations(CACHED_PIECES)
+
+    def _ids(self, piece) -> list[int]:
+        return self.automaton.encode(piece) if isinstance(piece, str) else [piece]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; a piece is encoded once while it is known."""
-        if len(self.known) > CACHED_PIECES:
-            self.known = {i: [i] for i in self.split.added.values()}
-        known, split, walk, out = self.known, self.split.pieces, self.automaton.encode, []
-        for w in words:
-            ids: list[int] = []
-            for p in split(w):
-                found = known.get(p)
-                if found is None:
-                    found = known[p] = walk(p)
-                ids += found
-            out.append(ids)
+        """Ids of each word."""
+        names, codes, counts = self.split.all_pieces(words)
+        coded, flat, out, at = [self._ids(p) for p in names], codes.tolist(), [], 0
+        for n in counts.tolist():
+            out.append([i for c in flat[at: at + n] for i in coded[c]])
+            at += n
         return out
 
+    def rendered(self, words: list[str]) -> list[pa.Array]:
+        """The decimal ids and the labels of each word, a blank behind each; pieces in use are encoded once."""
+        def spell(names: list) -> list[list[bytes]]:
+            found = self.memory.values(names, lambda new: [self._rendered(self._ids(p)) for p in new])
+            return [[x for x, _ in found], [x for _, x in found]]
+        return spelled(self.split, words, spell)
+
+    def _rendered(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return f"{' '.join(map(str, ids))} ".encode(), f"{self.decode(ids)} ".encode()
+
     def decode(self, ids: list[int]) -> str:
         """The arc labels, joined as the library joins tokens where a file names no decoder."""
         labels = self.labels
@@ -170,9 +225,9 @@ def _tokenizer_json(path: str) -> str:
     return text
 
 
-def _joined(words: list[str], codes: pa.Array, starts, rendered: list[str]) -> Iterator[str]:
+def _joined(values: pa.Array, codes: pa.Array, starts) -> Iterator[bytes]:
     """Rendered words of each text, joined by single blanks; words without tokens leave none."""
-    data, at = gathered([f"{r} ".encode() if r else b"" for r in rendered], codes, starts)
+    data, at = gathered(values, codes, starts)
     raw = data.tobytes()
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         yield raw[a: b - 1] if b > a else b""
@@ -189,9 +244,7 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for k in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(k, SLICE_ROWS)
                 starts, codes, words = distinct_words(part["text"])
-                coded = codec.encode(words)
-                numbers = _joined(words, codes, starts, [" ".join(map(str, ids)) for ids in coded])
-                labels = _joined(words, codes, starts, [codec.decode(ids) for ids in coded])
+                numbers, labels = (_joined(v, codes, starts) for v in codec.rendered(words))
                 rows = [(n.count(b" ") + 1 if n else 0, hashlib.sha256(n).hexdigest(), hashlib.sha256(d).hexdigest())
                         for n, d in zip(numbers, labels)]
                 counts, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
