@@ -33,14 +33,14 @@ def log_of(spark, seconds, reviewer=1, source="reviewer"):
         "seq", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("reviewed_at"), "reviewer", "source")
 
 
-def test_gaps_do_not_depend_on_slots(spark):
+def test_gaps_do_not_depend_on_ranges(spark):
     rng = random.Random(9)
     seconds = [rng.uniform(0, 40 * 3600) for _ in range(200)] + [0.0, 0.0, 90 * 3600.0]
     log = log_of(spark, seconds)
     want = np.diff(sorted(seconds))
-    for slot in ("MINUTE", "HOUR", "DAY", "YEAR"):
+    for ranges in (1, 2, 3, 7):
         for by in (None, ["reviewer"]):
-            got = effort.review_gaps(log, by, slot).orderBy("reviewed_at", "seq").collect()
+            got = effort.review_gaps(log, by, ranges).orderBy("reviewed_at", "seq").collect()
             assert got[0]["gap_seconds"] is None
             assert np.allclose([r["gap_seconds"] for r in got[1:]], want, atol=2e-6)
 
@@ -109,6 +109,28 @@ def test_model_travels_without_the_package(spark, registry):
     assert b"ledgerlint" not in pickle.dumps(vars(forest.fit_forest(planted(registry))).copy())
 
 
+def test_one_busy_hour_is_spread_over_tasks(spark):
+    """30,000 decisions of one reviewer in one hour: no range holds many, gaps are those of the whole order."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("seq"), F.lit("r").alias("reviewer"),
+        F.timestamp_micros(F.lit(1_600_000_000_000_000) + (F.col("id") * 7919 % 30_000) * 100_000).cast("timestamp_ntz").alias("reviewed_at"))
+    sizes = effort.in_ranges(rows, ["reviewer", "reviewed_at", "seq"], 8).groupBy("_range").count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 6_000
+    gaps = effort.review_gaps(rows, ["reviewer"], 8)
+    assert gaps.where("gap_seconds IS NULL").count() == 1
+    assert [r[0] for r in gaps.where("gap_seconds IS NOT NULL").select("gap_seconds").distinct().collect()] == [0.1]
+
+
+def test_gaps_of_null_reviewers_and_times(spark):
+    rows = [(1, None, "2024-01-01 10:00:00"), (2, None, "2024-01-01 10:00:05"), (3, "a", "2024-01-01 10:00:09"), (4, "a", None),
+            (5, "a", "2024-01-01 10:00:10"), (5, "a", "2024-01-01 10:00:10")]
+    log = spark.createDataFrame(rows, "seq long, reviewer string, t string").select("seq", "reviewer", F.col("t").cast("timestamp_ntz").alias("reviewed_at"))
+    for ranges in (1, 3):
+        got = sorted((r["seq"], r["gap_seconds"]) for r in effort.review_gaps(log, ["reviewer"], ranges).where("seq <> 4").collect() if r["gap_seconds"] is not None)
+        assert got == [(2, 5.0), (5, 0.0), (5, 1.0)]
+    assert effort.review_gaps(log.limit(0), ["reviewer"]).count() == 0
+
+
 def test_synthetic_styles(spark, registry):
     cases = [("Block 5", "abbreviation", "Blk 5"), ("Tower", "abbreviation", "Tower"),
              ("Tower", "extra_word", "Tower Building"), ("Plaza", "typo", "Plzaa"), ("Mall", "typo", "Mall"),
