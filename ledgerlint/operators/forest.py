@@ -1,7 +1,13 @@
-"""Isolation forest (Liu, Ting & Zhou 2008): trees built per group, scores per Arrow batch."""
+"""Isolation forest (Liu, Ting & Zhou 2008): trees built per group, scores per Arrow batch.
+
+Every draw is a hash: which records a tree takes, and a node's feature and cut. So a forest is the same under any
+partitioning, on any engine that computes the same hashes, and as a stored table of nodes. Node k of a tree has
+the nodes 2k + 1 (at most the threshold) and 2k + 2 below it; the root is node 0.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,15 +45,33 @@ def average_path(n) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+PRIME = 2**31 - 1
+NUMBERS = 2**32
+
+
+def _numbers(text: str) -> tuple[int, int]:
+    """Two 32-bit numbers, the first digits of a hash."""
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
+
+
+def tree_hashes(spec: ForestSpec) -> list[tuple[int, int]]:
+    """(factor, offset) of each tree: it takes the records with the lowest (factor * pos + offset) modulo PRIME."""
+    drawn = [_numbers(f"{spec.seed}:{t}") for t in range(spec.trees)]
+    return [(a % (PRIME - 1) + 1, b % PRIME) for a, b in drawn]
+
+
+def depth_limit(sample: int) -> int:
+    return int(np.ceil(np.log2(max(sample, 2))))
+
+
 def _tree(rows: pd.DataFrame, seed: int, sample: int) -> pd.DataFrame:
-    """One tree from at most ``sample`` rows: split a random varying feature at a random point."""
+    """One tree from at most ``sample`` rows: of the features that vary in a node one, and a cut between its least and
+    greatest value, as the hash of the node says."""
     tree = int(rows["tree"].iloc[0])
-    rows = rows.sort_values("key")
-    x = rows[FEATURES].to_numpy()
-    rng = np.random.default_rng([seed, tree])
-    limit = int(np.ceil(np.log2(max(sample, 2))))
+    x = rows.sort_values("key")[FEATURES].to_numpy()
+    limit = depth_limit(sample)
     nodes, waiting = [], [(np.arange(len(x)), 0, 0)]
-    count = 1
     while waiting:
         members, node, depth = waiting.pop()
         part = x[members]
@@ -56,15 +80,14 @@ def _tree(rows: pd.DataFrame, seed: int, sample: int) -> pd.DataFrame:
         if depth >= limit or len(varying) == 0:
             nodes.append((tree, node, -1, 0.0, node, node, len(members), depth))
             continue
-        feature = int(rng.choice(varying))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        below = part[:, feature] <= cut
-        if below.all():
+        which, where = _numbers(f"{seed}:{tree}:{node}")
+        feature = int(varying[which % len(varying)])
+        cut = float(low[feature] + (high[feature] - low[feature]) * (where / NUMBERS))
+        if cut >= high[feature]:
             cut = float(low[feature])
-            below = part[:, feature] <= cut
-        nodes.append((tree, node, feature, cut, count, count + 1, len(members), depth))
-        waiting += [(members[below], count, depth + 1), (members[~below], count + 1, depth + 1)]
-        count += 2
+        below = part[:, feature] <= cut
+        nodes.append((tree, node, feature, cut, 2 * node + 1, 2 * node + 2, len(members), depth))
+        waiting += [(members[below], 2 * node + 1, depth + 1), (members[~below], 2 * node + 2, depth + 1)]
     return pd.DataFrame(nodes, columns=[p.split()[0] for p in NODE_SCHEMA.split(", ")])
 
 
@@ -97,17 +120,19 @@ def isolation_scores(forest: dict, x: np.ndarray) -> np.ndarray:
 
 def tree_nodes(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpec(),
                n_rows: int | None = None) -> DataFrame:
-    """The node table of a forest fitted to ``df``.
+    """The node table of a forest fitted to ``df``: write it to keep the model, see :func:`forest_of`.
 
-    Tree t takes the ``sample`` rows with the smallest hash of (seed, t, order key): the same
-    rows under any partitioning. A row joins a tree's draw only below a hash bound that lets
-    about four times the sample through, so the draw does not grow with the table.
+    Tree t takes the ``sample`` rows with the smallest hash of the order key: the same rows under any
+    partitioning. A row joins a tree's draw only below a hash bound that lets about four times the sample
+    through, or all rows where that could be too few, so the draw does not grow with the table.
     """
     n_rows = df.count() if n_rows is None else n_rows
-    share = min(1.0, 4 * spec.sample / max(n_rows, 1))
-    bound = F.lit(int(-(2 ** 63) + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(spec.trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.xxhash64(F.lit(spec.seed), t, F.col(f.pos)).alias("h")))
+    share = 4 * spec.sample / max(n_rows, 1)
+    bound = int(share * PRIME) if share < 1 else PRIME
+    pairs = F.lit([v for pair in tree_hashes(spec) for v in pair]).cast("array<long>")
+    place = F.pmod(F.col(f.pos).cast("long"), F.lit(PRIME))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(spec.trees - 1)), lambda t: F.struct(t.alias("tree"), (
+        (F.get(pairs, 2 * t) * place + F.get(pairs, 2 * t + 1)) % PRIME).alias("h")))
     drawn = df.select(F.explode(F.filter(draws, lambda d: d.getField("h") <= bound)).alias("d"),
                       F.col(f.pos).alias("key"),
                       *[c.alias(k) for k, c in feature_columns(f).items()])
@@ -119,21 +144,24 @@ def tree_nodes(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpe
         lambda rows: _tree(rows, seed, sample), NODE_SCHEMA)
 
 
-def fit_forest(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpec()) -> Forest:
-    n_rows = df.count()
-    nodes = tree_nodes(df, f, spec, n_rows).toPandas()  # bounded by the spec, not by the table
-    nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    sizes = nodes.groupby("tree").size()
-    first = (sizes.cumsum() - sizes).to_numpy()
-    offset = np.repeat(first, sizes.to_numpy())
+def forest_of(nodes: DataFrame) -> Forest:
+    """The forest of a table of nodes, just fitted or stored; bounded by its spec, not by the records."""
+    table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
+    if table.empty:
+        raise ValueError("a forest needs at least one record")
+    key = table["tree"].to_numpy().astype(np.int64) << 32 | table["node"].to_numpy()
+    at = lambda child: np.searchsorted(key, table["tree"].to_numpy().astype(np.int64) << 32 | table[child].to_numpy())
     # leaves lead to themselves: feature 0 is compared, both ways stay
     return Forest(
-        roots=first, feature=np.maximum(nodes["feature"].to_numpy(), 0),
-        threshold=nodes["threshold"].to_numpy(), left=nodes["left"].to_numpy() + offset,
-        right=nodes["right"].to_numpy() + offset,
-        path=nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy()),
-        levels=int(nodes["depth"].max()),
-        scale=float(average_path(min(spec.sample, n_rows))) or 1.0)
+        roots=np.flatnonzero(table["node"].to_numpy() == 0), feature=np.maximum(table["feature"].to_numpy(), 0),
+        threshold=table["threshold"].to_numpy(), left=at("left"), right=at("right"),
+        path=table["depth"].to_numpy() + average_path(table["size"].to_numpy()),
+        levels=int(table["depth"].max()),
+        scale=float(average_path(int(table["size"].max()))) or 1.0)
+
+
+def fit_forest(df: DataFrame, f: Fields = Fields(), spec: ForestSpec = ForestSpec()) -> Forest:
+    return forest_of(tree_nodes(df, f, spec))
 
 
 def with_outlier_score(df: DataFrame, forest: Forest, f: Fields = Fields()) -> DataFrame:

@@ -474,8 +474,17 @@ def feature_vector(spark, sf):
 
 @query
 def forest_scores(spark, sf):
+    """Scores by a forest that was stored and read again."""
     df = views.registry(spark, sf)
-    return forest.with_outlier_score(df, forest.fit_forest(df)).select("record_id", "raw_score")
+    nodes = tables.materialise(forest.tree_nodes(df), "forest")
+    return rounded(forest.with_outlier_score(df, forest.forest_of(nodes)).select("record_id", "raw_score"), "raw_score")
+
+
+@query
+def forest_nodes(spark, sf):
+    """The nodes of the fitted trees."""
+    nodes = forest.tree_nodes(views.registry(spark, sf))
+    return shown(nodes, "tree", "node", "feature", "threshold", F.col("size").alias("n_rows"), "depth")
 
 
 @query
@@ -512,7 +521,7 @@ def review_gaps(spark, sf):
 @query
 def full_pipeline(spark, sf):
     out = triage(views.registry(spark, sf))
-    return out.select("record_id", *rules.RULE_FLAGS, "any_flag", "flag_fuzzy_duplicate",
+    return shown(out, "record_id", *rules.RULE_FLAGS, "any_flag", "flag_fuzzy_duplicate",
                       "fuzzy_partner_id", "review_confidence_score", "flag_ai_anomaly",
                       "ai_anomaly_score", "final_review_score")
 

@@ -3,8 +3,11 @@ no prefilters, no collapsing of copies, matching record by record."""
 
 from __future__ import annotations
 
-from ledgerlint.operators import explain as texts
+import numpy as np
+
+from ledgerlint.operators import explain as texts, forest
 from ledgerlint.plans.views import DECISION_LOG_SQL, NAMES_SQL, REGISTRY_SQL, STAND_IN_SCORE
+from ledgerlint.specs import ForestSpec
 
 ORACLE: dict[str, str] = {}
 
@@ -94,12 +97,13 @@ def scored(source: str = "registry") -> str:
     FROM flags f JOIN fuzzy z ON f.pos = z.pos)"""
 
 
-MODEL = f""", raws AS (SELECT *, {STAND_IN_SCORE} AS raw FROM scored),
+BLENDED = """,
   final AS (SELECT *, least(1.0::DOUBLE, 0.7::DOUBLE * review_confidence_score
       + 0.3::DOUBLE * ai_anomaly_score * flag_ai_anomaly::INT) AS final_review_score
     FROM (SELECT *, raw > (SELECT quantile_cont(raw, 0.97) FROM raws) AS flag_ai_anomaly,
       (raw - (SELECT min(raw) FROM raws)) / (SELECT max(raw) - min(raw) FROM raws) AS ai_anomaly_score
       FROM raws))"""
+MODEL = f", raws AS (SELECT *, {STAND_IN_SCORE} AS raw FROM scored)" + BLENDED
 LOG = f"""decision_log AS ({DECISION_LOG_SQL}),
   latest AS (SELECT record_id, arg_max(decision, struct_pack(t := reviewed_at, s := seq)) AS decision
     FROM decision_log GROUP BY record_id)"""
@@ -354,6 +358,56 @@ put("feature_vector", REG + """SELECT record_id, round(coalesce(latitude, 0), 6)
     length(coalesce(location_description, ''))::DOUBLE AS description_length FROM registry""")
 
 
+def forest_sql(raw: str, spec: ForestSpec = ForestSpec()) -> str:
+    """Common tables after ``registry``: ``nodes`` of the fitted trees, level by level, and ``raws``, the columns of the
+    table ``raw`` with the score of its records, walked level by level."""
+    names, limit = forest.FEATURES, 8
+    drawn = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(forest.tree_hashes(spec)))
+    edges = ", ".join(f"min({n}) AS l{i}, max({n}) AS h{i}" for i, n in enumerate(names))
+    varying = ", ".join(f"CASE WHEN h{i} > l{i} THEN {i} END" for i in range(len(names)))
+    either = lambda letter: "CASE feature " + " ".join(f"WHEN {i} THEN {letter}{i}" for i in range(len(names))) + " END"
+    value = "CASE s.feature " + " ".join(f"WHEN {i} THEN m.{n}" for i, n in enumerate(names)) + " END"
+    number = lambda at: f"CAST('0x' || substr(md5('{spec.seed}:' || tree || ':' || node), {at}, 8) AS BIGINT)"
+    out = [f"""feats AS MATERIALIZED (SELECT pos, record_id, coalesce(latitude, 0) AS lat, coalesce(longitude, 0) AS lon,
+    (postal_code IS NULL)::INT::DOUBLE AS missing_postal, (road_name IS NULL)::INT::DOUBLE AS missing_road,
+    (operating_hours IS NULL)::INT::DOUBLE AS missing_hours, length(coalesce(building_name, ''))::DOUBLE AS building_length,
+    length(coalesce(location_description, ''))::DOUBLE AS description_length FROM registry)""",
+           f"""m0 AS MATERIALIZED (SELECT tree, 0::BIGINT AS node, feats.* FROM feats, (VALUES {drawn}) d(tree, a, b)
+    QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (a * (pos % {forest.PRIME}) + b) % {forest.PRIME}, pos) <= {spec.sample})"""]
+    for k in range(limit + 1):
+        out.append(f"""e{k} AS (SELECT tree, node, count(*) AS size, {edges} FROM m{k} GROUP BY tree, node),
+  v{k} AS (SELECT *, list_filter([{varying}], lambda x: x IS NOT NULL) AS varying FROM e{k}),
+  f{k} AS (SELECT *, CASE WHEN len(varying) = 0 OR {k} >= (SELECT ceil(log2(greatest(2, least({spec.sample}, count(*))))) FROM feats)
+      THEN -1 ELSE varying[1 + {number(1)} % len(varying)] END AS feature FROM v{k}),
+  c{k} AS (SELECT *, {either("l")} AS low, {either("h")} AS high FROM f{k}),
+  s{k} AS MATERIALIZED (SELECT tree, node, size, {k} AS depth, feature, CASE WHEN feature < 0 THEN 0.0
+      WHEN low + (high - low) * ({number(9)} / {forest.NUMBERS}.0::DOUBLE) >= high THEN low
+      ELSE low + (high - low) * ({number(9)} / {forest.NUMBERS}.0::DOUBLE) END AS threshold FROM c{k})""")
+        if k < limit:
+            out.append(f"""m{k + 1} AS MATERIALIZED (SELECT m.* REPLACE (2 * m.node + CASE WHEN {value} <= s.threshold THEN 1 ELSE 2 END AS node)
+    FROM m{k} m JOIN s{k} s USING (tree, node) WHERE s.feature >= 0)""")
+    out.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(limit + 1)) + ")")
+    out.append("w0 AS (SELECT t.tree, 0::BIGINT AS node, feats.* FROM feats, (SELECT DISTINCT tree FROM nodes) t)")
+    for k in range(limit):
+        out.append(f"""w{k + 1} AS MATERIALIZED (SELECT m.* REPLACE (CASE WHEN s.feature < 0 THEN m.node
+      WHEN {value} <= s.threshold THEN 2 * m.node + 1 ELSE 2 * m.node + 2 END AS node) FROM w{k} m JOIN nodes s USING (tree, node))""")
+    path = lambda n: (f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1.0::DOUBLE) + {float(np.euler_gamma)!r}) "
+                      f"- 2 * ({n} - 1.0::DOUBLE) / {n} END")
+    out.append(f"""walked AS (SELECT record_id, list_sum(list(s.depth + {path("s.size")} ORDER BY tree)) AS total, count(*) AS trees
+    FROM w{limit} JOIN nodes s USING (tree, node) GROUP BY record_id),
+  whole AS (SELECT max(size) AS n FROM nodes), scale AS (SELECT {path("n")} AS c FROM whole),
+  raws AS (SELECT t.*, pow(2, -total / trees / CASE WHEN c = 0 THEN 1 ELSE c END) AS raw FROM {raw} t JOIN walked USING (record_id), scale)""")
+    return ",\n  ".join(out)
+
+
+put("forest_nodes", f"WITH {REGISTRY}, {forest_sql('feats')} SELECT tree, node, feature, round(threshold, 6) AS threshold, "
+    "size AS n_rows, depth FROM nodes")
+put("forest_scores", f"WITH {REGISTRY}, {forest_sql('feats')} SELECT record_id, round(raw, 6) AS raw_score FROM raws")
+put("full_pipeline", f"WITH {REGISTRY}, {scored()}, {forest_sql('scored')}{BLENDED} SELECT " + pick(
+    "record_id", *FLAG_COLUMNS.split(", "), "any_flag", "flag_fuzzy_duplicate", "fuzzy_partner_id",
+    "review_confidence_score", "flag_ai_anomaly", "ai_anomaly_score", "final_review_score") + " FROM final")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

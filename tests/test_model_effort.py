@@ -2,6 +2,7 @@ import pickle
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlint.operators import effort, forest, quantiles, seeding
@@ -104,6 +105,26 @@ def test_forest_scores_follow_the_node_table(spark, registry):
         assert abs(row["raw_score"] - 2 ** (-total / 5 / float(forest.average_path(16)))) < 1e-12
 
 
+def test_stored_forest_scores_like_the_fitted_one(spark, registry, tmp_path):
+    df, spec = planted(registry), ForestSpec(trees=7, sample=32)
+    forest.tree_nodes(df, spec=spec).repartition(3).write.parquet(str(tmp_path / "forest"))
+    again = forest.forest_of(spark.read.parquet(str(tmp_path / "forest")))
+    fitted = forest.fit_forest(df, spec=spec)
+    scores = lambda model: sorted((r["pos"], r["raw_score"]) for r in forest.with_outlier_score(df, model).collect())
+    assert scores(again) == scores(fitted)
+    assert again.scale == float(forest.average_path(32)) and len(again.roots) == 7
+    with pytest.raises(ValueError):
+        forest.fit_forest(df.limit(0), spec=spec)
+
+
+def test_draws_of_trees_are_even(spark, registry):
+    """Each tree takes its own records, with no drift towards early or late ones."""
+    spec = ForestSpec(trees=40, sample=50)
+    taken = [sorted(range(2000), key=lambda p: ((a * p + b) % forest.PRIME, p))[:50] for a, b in forest.tree_hashes(spec)]
+    middle = np.mean([np.mean(t) for t in taken])
+    assert 900 < middle < 1100 and len({tuple(t) for t in taken}) == 40
+
+
 def test_model_travels_without_the_package(spark, registry):
     """Executors read the broadcast with plain pickle, so it must not name this package."""
     assert b"ledgerlint" not in pickle.dumps(vars(forest.fit_forest(planted(registry))).copy())
