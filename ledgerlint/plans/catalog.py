@@ -545,6 +545,20 @@ def stream_validate(spark, sf):
                                           "flag_malformed_hours")
 
 
+@query
+def stream_stored_places(spark, sf):
+    """Records of one market segment arrive; those at a place that a stored record of another has are flagged."""
+    customers = views.table(spark, sf, "customer")
+    sql = views.REGISTRY_SQL.replace("FROM customer", "FROM {customer}")
+    stored = spark.sql(sql, customer=customers.where("c_mktsegment <> 'BUILDING'"))
+    arriving = (spark.readStream.schema(CUSTOMER_DDL).option("pathGlobFilter", "customer.parquet")
+                .parquet(sf).where("c_mktsegment = 'BUILDING'"))
+    found = validation.flag_stored_places(spark.sql(sql, customer=arriving), validation.place_counts(stored))
+    out, checkpoint = tables.fresh_path(spark, "arrived"), tables.fresh_path(spark, "offsets")
+    validation.write_validated(found, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("record_id", "flag_stored_place")
+
+
 @query
 def stream_latest_decision(spark, sf):
     """The decision log as a stream; the latest decision of each record from its changes."""

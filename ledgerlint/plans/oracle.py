@@ -467,4 +467,9 @@ put("review_gaps", gaps("PARTITION BY reviewer") + " SELECT seq, round(gap, 6) A
 # streams give what the batch gives
 put("stream_validate", REG + f"""SELECT record_id, {ADDRESS} AS flag_missing_address,
     {BOX} AS flag_invalid_coords, {HOURS} AS flag_malformed_hours FROM registry""")
+put("stream_stored_places", f"""WITH {REGISTRY}, sides AS (SELECT r.*, c_mktsegment = 'BUILDING' AS arrives
+    FROM registry r JOIN customer ON c_custkey = pos) SELECT record_id, EXISTS (SELECT 1 FROM sides s WHERE NOT s.arrives
+    AND s.latitude IS NOT DISTINCT FROM a.latitude AND s.longitude IS NOT DISTINCT FROM a.longitude
+    AND s.location_description IS NOT DISTINCT FROM a.location_description) AS flag_stored_place
+    FROM sides a WHERE arrives""")
 put("stream_latest_decision", ORACLE["latest_decision"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -67,8 +70,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
+
+@contextlib.contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[str]:
+    """A run whose stage tables end with it. What is written by :func:`materialise` inside lies in one folder, which
+    is removed when the run ends well and kept when it fails. Results must be written or collected inside: their
+    plans read stage tables. A run inside another has its own folder."""
+    folder = f"{shared_folder(spark)}/ledgerlint/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+    _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # any store Spark can write to
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/ledgerlint/{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_folder(spark) + '/ledgerlint'}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -153,3 +153,52 @@ def test_streamed_validation_equals_the_batch(spark, registry, tmp_path):
     validation.write_validated(validation.validate_stream(stream), out, checkpoint).awaitTermination()
     want = {tuple(r) for r in apply_rules(df, local_rules()).collect()}
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_snapshots_take_the_place_of_batches(spark, tmp_path):
+    """Seven micro-batches, a snapshot every two; a batch that runs again and a snapshot without a mark change nothing."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    log = spark.range(140).selectExpr(
+        "id AS seq", "concat('R', id * 7 % 9) AS record_id", "timestamp_seconds(id * 7919 % 50) AS reviewed_at",
+        "concat('d', id) AS decision")
+    for part in range(7):
+        log.where(f"seq % 7 = {part}").coalesce(1).write.mode("append").parquet(source)
+        changes = decision_stream.decision_changes(spark.readStream.schema(log.schema).parquet(source))
+        decision_stream.write_changes(changes, out, checkpoint, compact_every=2).awaitTermination()
+        want = {tuple(r) for r in decisions.latest_decisions(log.where(f"seq % 7 <= {part}")).collect()}
+        assert {tuple(r) for r in decision_stream.read_latest(spark, out).collect()} == want
+    marks = sorted(r[0] for r in spark.read.parquet(f"{out}/marks").collect())
+    assert marks == [-1, 1, 3, 5]
+    read = {r[0].split("/")[-2] for r in decision_stream.changes_since(spark, out).select(F.input_file_name()).collect()}
+    assert read == {"upto=5", "batch=6"}
+    decision_stream.compact(spark, out, 5)  # as when batch 5 runs again
+    spark.createDataFrame([("R1", None, 1, "half written")], decision_stream.CHANGE_SCHEMA).write.parquet(f"{out}/snapshots/upto=6")
+    assert {tuple(r) for r in decision_stream.read_latest(spark, out).collect()} == want
+
+
+def test_stage_tables_end_with_their_run(spark, registry):
+    import os
+    df = registry([dict(building_name=f"Tower {i % 3}") for i in range(9)])
+    with tables.stage_tables(spark) as folder:
+        rows = tables.materialise(df, "outer").count()
+        with tables.stage_tables(spark) as inner:
+            tables.materialise(df, "inner")
+            assert len(os.listdir(inner)) == 1
+        assert not os.path.exists(inner) and rows == 9 and len(os.listdir(folder)) == 1
+        assert tables.fresh_path(spark, "x").startswith(folder)
+    assert not os.path.exists(folder) and "run-" not in tables.fresh_path(spark, "x")
+    with pytest.raises(ZeroDivisionError):
+        with tables.stage_tables(spark) as folder:
+            tables.materialise(df, "kept")
+            1 / 0
+    assert len(os.listdir(folder)) == 1 and "run-" not in tables.fresh_path(spark, "x")
+
+
+def test_stored_places_of_nulls_and_hot_keys(spark, registry):
+    stored = registry([dict(latitude=1.0)] * 5 + [dict(latitude=None, longitude=None, location_description=None)])
+    arriving = registry([dict(latitude=1.0), dict(latitude=2.0), dict(latitude=None, longitude=None, location_description=None)])
+    counts = validation.place_counts(stored)
+    for hot_rows in (2, 10**6):
+        out = validation.flag_stored_places(arriving, counts, hot_rows=hot_rows).orderBy("pos")
+        assert [r["flag_stored_place"] for r in out.collect()] == [True, False, True]
+        assert out.columns == [*arriving.columns, "flag_stored_place"]
