@@ -24,11 +24,13 @@ from ledgerlint.sources.tables import fresh_path, materialise
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
 DATE = "1970-01-01T00:00:00Z"  # of pages that come without a date
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>")
+HIDING = re.compile(r"(?i)<(?:!--|(script|style|noscript|template|head)\b)")
+CLOSERS = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "noscript", "template", "head", "title")}
 BREAKS = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|hr|body|html)\b[^>]*>")
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-LINK = re.compile(r"""(?i)<(a|img|link|script|iframe)\b[^>]*?\s(href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+TITLE = re.compile(r"(?i)<title")
+LINKING = re.compile(r"(?i)<(a|img|link|script|iframe)\b")
+ADDRESS = re.compile(r"""(?i)\s(href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 RUNS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
 RECORDS = ("page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -43,17 +45,96 @@ def urn(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join(parts))}>"
 
 
+class Ahead:
+    """The next match of a pattern at or after growing positions; no stretch of the text is searched twice."""
+
+    def __init__(self, pattern: re.Pattern, text: str):
+        self.pattern, self.text = pattern, text
+        self.since, self.found = 0, pattern.search(text)
+
+    def __call__(self, at: int) -> re.Match | None:
+        if self.found is not None and self.found.start() < at or at < self.since:
+            self.since, self.found = at, self.pattern.search(self.text, at)
+        return self.found
+
+
+class Page:
+    """Looks ahead in a page for the ends of tags, comments and elements, in time that grows with the page only."""
+
+    def __init__(self, page: str):
+        self.page, self.ahead = page, {}
+
+    def next(self, name: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        found = self.ahead.get(name)
+        if found is None:
+            found = self.ahead[name] = Ahead(pattern, self.page)
+        return found(at)
+
+    def element(self, name: str, at: int) -> tuple[int, int, int] | None:
+        """(end of the opening tag, begin and end of the closing one) of an element whose name ends at ``at``."""
+        tag = self.next(">", GREATER, at)
+        close = tag and self.next(name, CLOSERS[name], tag.end())
+        return (tag.end(), close.start(), close.end()) if close else None
+
+
+GREATER, COMMENT_END = re.compile(">"), re.compile("-->")
+
+
+def without_hidden(page: str) -> str:
+    """Comments and elements that show no text become a blank."""
+    look, out, at = Page(page), [], 0
+    opening = HIDING.search(page)
+    while opening:
+        if opening[1]:
+            found = look.element(opening[1].lower(), opening.end())
+            end = found and found[2]
+        else:
+            found = look.next("-->", COMMENT_END, opening.end())
+            end = found and found.end()
+        if end:
+            out += [page[at: opening.start()], " "]
+            at = end
+        opening = HIDING.search(page, end or opening.start() + 1)
+    return "".join([*out, page[at:]])
+
+
 def page_text(page: str) -> str:
     """Visible text: one line per block, white space collapsed, references resolved."""
-    text = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
+    shown = without_hidden(page)
+    last = shown.rfind(">") + 1  # no tag ends after it
+    text = TAG.sub("", BREAKS.sub("\n", shown[:last])) + shown[last:]
     if "&" in text:
         text = html.unescape(text)
     return LINES.sub("\n", RUNS.sub(" ", text)).strip()
 
 
 def page_links(page: str) -> list[dict]:
-    return [{"path": f"{tag.upper()}@/{name.lower()}", "url": html.unescape(value.strip("\"'"))}
-            for tag, name, value in LINK.findall(page)]
+    """The first address in each linking tag, in order."""
+    look, out = Page(page), []
+    tag = LINKING.search(page)
+    while tag:
+        found = look.next("address", ADDRESS, tag.end())
+        if found is None:
+            break
+        close = look.next(">", GREATER, tag.end())
+        inside = close is None or found.start() < close.start()
+        if inside:
+            out.append({"path": f"{tag[1].upper()}@/{found[1].lower()}", "url": html.unescape(found[2].strip("\"'"))})
+        tag = LINKING.search(page, found.end() if inside else tag.end())
+    return out
+
+
+def page_title(page: str) -> str:
+    look, opening = Page(page), TITLE.search(page)
+    while opening:
+        found = look.element("title", opening.end())
+        if found:
+            return html.unescape(page[found[0]: found[1]]).strip()
+        closing = look.ahead.get("title")
+        if closing is None or closing.found is None:  # nothing ends a tag, or a title, from here on
+            return ""
+        opening = TITLE.search(page, opening.end())
+    return ""
 
 
 def derivatives(page_id, url, date, headers, payload: str | None) -> list[tuple]:
@@ -65,13 +146,13 @@ def derivatives(page_id, url, date, headers, payload: str | None) -> list[tuple]
     response, of_payload = urn("response", str(page_id), url, date, digest(raw)), digest(raw)
     lines = [line for line in headers.split("\r\n") if line]
     fields = [line.split(":", 1) for line in lines[1:] if ":" in line]
-    title, links = TITLE.search(payload), page_links(payload)
+    links = page_links(payload)
     envelope = {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url,
                                  "WARC-Date": date, "WARC-Payload-Digest": of_payload},
         "Payload-Metadata": {"HTTP-Response-Metadata": {
             "Response-Message": lines[0] if lines else "", "Headers": {k.strip(): v.strip() for k, v in fields},
-            "HTML-Metadata": {"Title": html.unescape(title[1]).strip() if title else "", "Links": links}}}}
+            "HTML-Metadata": {"Title": page_title(payload), "Links": links}}}}
     blocks = [("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False).encode()),
               ("conversion", "text/plain", page_text(payload).encode())]
     return [(page_id, kind, urn(kind, response), response, url, date, media, of_payload, digest(block), len(block),
