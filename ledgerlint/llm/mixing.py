@@ -153,11 +153,9 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), whole: bool = Fa
     with ``whole`` it is taken whole or not at all, whichever is nearer to the target. Documents without
     words belong to no mix."""
     rows, draws, _ = mixture(docs, spec)
-    placed = docs.withColumns({"_h": _place(spec), "_size": _size()})
-    names = {c: f"_own_{c}" for c in ("size", "h", "block", "copy", "shard", "share", "words") if c in docs.columns}
-    placed = placed.withColumnsRenamed(names).withColumnsRenamed({"_h": "h", "_size": "size"})
-    if dict(docs.dtypes)["source"] != "string":
-        placed = placed.withColumn("source", F.col("source").cast("string"))
+    others = [c for c in docs.columns if c != "text"]  # apart from the names used here
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), "doc_id", "text",
+                         F.col("source").cast("string").alias("source"), _size().alias("size"), _place(spec).alias("h"))
     taken = _drawn(placed.withColumn("block", _block("h", spec)).where("size > 0"), draws)
 
     @F.pandas_udf("string")
@@ -168,26 +166,27 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), whole: bool = Fa
     cut = taken.where("words < size")
     cut = cut.where("size - words <= words") if whole else cut.withColumn("text", first_words("text", "words"))
     out = taken.where("words = size").unionByName(cut)
-    n = _shards(docs, spec)
     order = F.xxhash64("h", "copy", F.lit(spec.seed + 1))
-    out = out.repartition(n, "shard").sortWithinPartitions("shard", order)
-    kept = {names.get(c, c): c for c in docs.columns}
-    return out.select(*[F.col(k).alias(c) for k, c in kept.items()])
+    out = out.repartitionById(_shards(docs, spec), F.col("shard")).sortWithinPartitions(order)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_digest(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row. Null texts have size 0 and null sources
+    """doc_id, size, source_size, target, taken of every row, and where the tree put them: first_shard (null: nothing
+    is taken) and draws, how often some of it is taken. Null texts have size 0 and null sources
     are one source, the last. Rows that are equal in all columns share what they take evenly."""
     places, draws, sources = mixture(docs, spec)
     taken = _drawn(places, draws)
     rows = places.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
-    totals = taken.groupBy("doc_id", "source", "size", "h").agg(F.sum("words").alias("taken"))
+    totals = taken.groupBy("doc_id", "source", "size", "h").agg(
+        F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.count(F.lit(1)).alias("draws"))
     same = ["doc_id", "source", "size", "h"]
     a, b = rows.alias("a"), totals.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in same]
-    joined = a.join(b, on, "left").select(*[F.col(f"a.{k}") for k in same], "n", F.coalesce("b.taken", F.lit(0)).alias("taken"))
+    joined = a.join(b, on, "left").select(*[F.col(f"a.{k}") for k in same], "n", F.coalesce("b.taken", F.lit(0)).alias("taken"),
+                                           "b.first_shard", F.coalesce("b.draws", F.lit(0)).alias("draws"))
     small = F.broadcast(sources.withColumnRenamed("source", "_s"))  # one row per source
     return (joined.join(small, F.col("source").eqNullSafe(F.col("_s")))
             .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
             .select("doc_id", "size", "source_size", "target",
-                    F.expr("taken div n + IF(k <= taken % n, 1, 0)").alias("taken")))
+                    F.expr("taken div n + IF(k <= taken % n, 1, 0)").alias("taken"), "first_shard", "draws"))

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from ledgerlint.llm import bpe, mixing, pii, quality, repeats, simhash, tokenfile
 from ledgerlint.llm.queries import TOKENIZER
 
@@ -169,6 +171,25 @@ def test_water_fill_and_tree():
     assert counts.sum(axis=0).tolist() == [7, 0, 30] and set(counts.sum(axis=1)) <= {7, 8}
 
 
+def test_every_shard_is_a_partition_with_its_share_of_blocks(spark, docs):
+    """Quotas are split exactly, no block of a copy is in two shards, and a partition holds one shard."""
+    texts = [f"w{i} " * (1 + i % 7) for i in range(3000)]
+    rows = docs(texts, source=[f"s{i % 3}" for i in range(3000)]).withColumnRenamed("size", "shard")
+    spec = mixing.MixSpec(shards=5, blocks=40)
+    _, draws, sources = mixing.mixture(rows, spec)
+    placed = [tuple(r) for r in draws.select("_source", "_block", "copy", "shard").collect()]
+    assert len(placed) == len(set(placed)) == len({p[:3] for p in placed})
+    sizes = [sum(p[3] == s for p in placed) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 1
+    mixed = mixing.mixed_documents(rows, spec)
+    assert mixed.columns == rows.columns and mixed.rdd.getNumPartitions() == 5
+    counts = [r["count"] for r in mixed.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()]
+    assert len(counts) == 5 and max(counts) < 1.6 * min(counts)
+    shown = mixing.mix_digest(rows, spec).collect()
+    assert all((r["taken"] == 0) == (r["first_shard"] is None) for r in shown)
+    assert {r["first_shard"] for r in shown if r["taken"]} <= set(range(5))
+
+
 def test_mixed_documents_can_stay_whole(docs):
     random.seed(5)
     texts = [" ".join(f"{i}w{k}" for k in range(random.randint(1, 90))) for i in range(60)]
