@@ -6,6 +6,8 @@ is the length of the longest common subsequence in characters.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -15,7 +17,7 @@ from pyspark.sql.types import LongType
 _CELLS = 4_000_000  # padded cells of one vectorised step
 
 
-def _codes(texts: list[str], pad: int) -> np.ndarray:
+def _codes(texts: Sequence[str], pad: int) -> np.ndarray:
     """Code points, one padded row per text; all texts are encoded at once."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     out = np.full((len(texts), max(1, lengths.max())), pad, dtype=np.int32)
@@ -25,14 +27,26 @@ def _codes(texts: list[str], pad: int) -> np.ndarray:
 
 
 def _lcs_block(left: list[str], right: list[str]) -> np.ndarray:
-    """LCS of many pairs at once: one numpy step per character of the left texts."""
-    a, b = _codes(left, -1), _codes(right, -2)
-    best = np.zeros((len(left), b.shape[1] + 1), dtype=np.int32)
+    """LCS of many pairs at once, a bit per character of the longer text and a numpy step per character of the
+    shorter one (Hyyrö 2004): a zero bit is a place up to which the subsequence is one longer than before it."""
+    shorter, longer = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(left, right)])
+    a, b = _codes(shorter, -1), _codes(longer, -2)
+    words = -(-b.shape[1] // 64)
+    hit = np.zeros((len(left), 64 * words), dtype=bool)
+    open_bits = np.full((len(left), words), ~np.uint64(0))
     for column in a.T:
-        taken = best[:, :-1] + (b == column[:, None])
-        np.maximum(best[:, 1:], taken, out=best[:, 1:])
-        np.maximum.accumulate(best, axis=1, out=best)
-    return best[:, -1]
+        np.equal(b, column[:, None], out=hit[:, : b.shape[1]])
+        match = np.packbits(hit, axis=1, bitorder="little").view("<u8")
+        taken = open_bits & match
+        total = open_bits + taken
+        if words > 1:  # carry from word to word
+            carry = np.zeros(len(left), dtype=np.uint64)
+            for w in range(words):
+                over = total[:, w] < taken[:, w]
+                total[:, w] += carry
+                carry = (over | (total[:, w] < carry)).astype(np.uint64)
+        open_bits = total | (open_bits & ~match)
+    return np.bitwise_count(~open_bits).sum(axis=1).astype(np.int64)
 
 
 def lcs_lengths(left: pd.Series, right: pd.Series) -> pd.Series:

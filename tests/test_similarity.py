@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -81,3 +82,11 @@ def test_text_functions(spark):
     one = spark.range(1).select(
         text.swap_middle(F.lit("Plaza")), text.capitalised(F.lit("hello World")), text.strip(F.lit("　 x \t")))
     assert tuple(one.first()) == ("Plzaa", "Hello world", "x")
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 200])
+def test_bits_are_carried_from_word_to_word(n):
+    rng = random.Random(n)
+    left = ["".join(rng.choices("ab🙂é", k=rng.randint(0, n))) for _ in range(40)] + ["", "a" * n, "a" * n]
+    right = ["".join(rng.choices("ab🙂é", k=rng.randint(0, n))) for _ in range(40)] + ["", "a" * n, ""]
+    assert sim._lcs_block(left, right).tolist() == [plain_lcs(x, y) for x, y in zip(left, right)]
