@@ -392,21 +392,40 @@ def csv_roundtrip(spark, sf):
     return shown(back, "pos", "record_id", "building_name", "operating_hours", "latitude", "any_flag")
 
 
+EXPORTED = {REG.id: "AED_ID", REG.hours: "OPERATING_HOURS", REG.road: "ROAD_NAME", REG.building: "BUILDING_NAME",
+            REG.postal: "POSTAL_CODE", REG.lat: "LATITUDE", REG.lon: "LONGITUDE"}
+
+
+def _features(spark, sf):
+    """The registry as GeoJSON features, in record order by ``pos``."""
+    return views.registry(spark, sf).select(
+        "pos", F.struct(*[F.col(c).alias(n) for c, n in EXPORTED.items()]).alias("properties"),
+        F.when(F.col("latitude").isNotNull(), F.struct(
+            F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
+        ).alias("geometry"))
+
+
 @query
 def geojson_flatten(spark, sf):
     """The registry written as GeoJSON features, one per line, and flattened again."""
     path = tables.fresh_path(spark, "geojson")
-    names = {REG.id: "AED_ID", REG.hours: "OPERATING_HOURS", REG.road: "ROAD_NAME",
-             REG.building: "BUILDING_NAME", REG.postal: "POSTAL_CODE", REG.lat: "LATITUDE",
-             REG.lon: "LONGITUDE"}
-    features = views.registry(spark, sf).select(
-        F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("properties"),
-        F.when(F.col("latitude").isNotNull(), F.struct(
-            F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
-        ).alias("geometry"))
-    features.write.json(path)
-    back = tables.cached(geojson.read_feature_lines(spark, path))
-    return shown(back, *names.values(), "geo_longitude", "geo_latitude")
+    _features(spark, sf).drop("pos").write.json(path)
+    back = tables.materialise(geojson.read_feature_lines(spark, path), "flat")
+    return shown(back, *EXPORTED.values(), "geo_longitude", "geo_latitude")
+
+
+@query
+def geojson_document(spark, sf):
+    """The registry as one document, read back by a task per byte range; pos counts its features."""
+    features = _features(spark, sf)
+    rank = F.lit(1).alias("rank")
+    lines = features.select(rank, "pos", F.concat(F.lit(","), F.to_json(F.struct("properties", "geometry"))).alias("value"))
+    edges = spark.createDataFrame([(0, 0, '{"type": "FeatureCollection", "features": [null'), (2, 0, "]}")], "rank int, pos long, value string")
+    path = tables.fresh_path(spark, "document")
+    lines.unionByName(edges).coalesce(1).sortWithinPartitions("rank", "pos").select("value").write.text(path)  # one document, one file
+    file = spark.read.text(path).inputFiles()[0]
+    back = tables.materialise(geojson.read_large_collection(spark, file, range_bytes=1 << 18), "flat")
+    return shown(back, "pos", *EXPORTED.values(), "geo_longitude", "geo_latitude")
 
 
 # ------------------------------------------------------------------- seeded evaluation

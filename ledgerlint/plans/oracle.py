@@ -294,11 +294,13 @@ put("log_append_roundtrip", f"""WITH {LOG} SELECT seq, record_id, reviewer, roun
     decision, 'reviewer' AS source FROM decision_log""")
 put("csv_roundtrip", f"""WITH {REGISTRY}, {flags()} SELECT pos, record_id, building_name, operating_hours,
     round(latitude, 6) AS latitude, any_flag FROM flags""")
-put("geojson_flatten", REG + """SELECT record_id AS "AED_ID", operating_hours AS "OPERATING_HOURS",
+EXPORTED = """record_id AS "AED_ID", operating_hours AS "OPERATING_HOURS",
     road_name AS "ROAD_NAME", building_name AS "BUILDING_NAME", postal_code AS "POSTAL_CODE",
     round(latitude, 6) AS "LATITUDE", round(longitude, 6) AS "LONGITUDE",
     CASE WHEN latitude IS NOT NULL THEN round(longitude, 6) END AS geo_longitude,
-    round(latitude, 6) AS geo_latitude FROM registry""")
+    round(latitude, 6) AS geo_latitude FROM registry"""
+put("geojson_flatten", REG + "SELECT " + EXPORTED)
+put("geojson_document", REG + "SELECT row_number() OVER (ORDER BY registry.pos) - 1 AS pos, " + EXPORTED)
 
 # seeded evaluation
 NAMED = strip("coalesce(building_name, '')") + " <> ''"

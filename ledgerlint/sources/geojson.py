@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, StringType, StructField, StructType)
 
+from ledgerlint.sources.split_json import objects_of
 from ledgerlint.sources.tables import clean_nulls
 from ledgerlint.specs import REGISTRY_FILE_FIELDS
 
@@ -33,14 +34,20 @@ def _flatten(df: DataFrame) -> DataFrame:
 
 def read_feature_collection(spark: SparkSession, path: str,
                             properties: str = REGISTRY_PROPERTIES) -> DataFrame:
-    """One ``FeatureCollection`` document. The document itself is one task, as JSON has to be;
-    use :func:`read_feature_lines` for large exports."""
+    """One ``FeatureCollection`` document, read by one task; :func:`read_large_collection` splits it."""
     schema = StructType([StructField("features", ArrayType(_feature(properties)))])
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
     return _flatten(doc.select(F.posexplode("features").alias("p", "f"))
                     .select(F.col("p").cast("long").alias("pos"), "f"))
 
 
+def read_large_collection(spark: SparkSession, path: str, properties: str = REGISTRY_PROPERTIES,
+                          range_bytes: int = 32 << 20) -> DataFrame:
+    """The same rows, one large document read by a task per byte range."""
+    found = objects_of(spark, path, "features", range_bytes)
+    return _flatten(found.select("pos", F.from_json("text", _feature(properties)).alias("f")))
+
+
 def read_feature_lines(spark: SparkSession, path: str,
                        properties: str = REGISTRY_PROPERTIES) -> DataFrame:
     """Newline-delimited features, split over tasks. ``pos`` numbers the lines in file order:

@@ -24,6 +24,31 @@ def test_feature_collection(spark, tmp_path):
     assert rows[0]["POSTAL_CODE"] == "012345" and len(rows[0]) == 19
 
 
+NASTY = ['quote " inside', "back\\\\slash \\", "{[}]", '"features": [{', "é🙂漢", "", "\\" * 9, "a\nb", '\\"']
+
+
+@pytest.mark.parametrize("range_bytes", [13, 200, 4000, 1 << 20])
+def test_one_document_is_split_at_any_byte(spark, tmp_path, range_bytes):
+    features = [{"type": "Feature", "properties": {"AED_ID": f"A{i}", "ROAD_NAME": NASTY[i % 9], "BUILDING_NAME": NASTY[(i * 4) % 9], "features": [{"x": 1}]},
+                 "geometry": {"type": "Point", "coordinates": [i / 8, 1.5]} if i % 5 else None} for i in range(60 if range_bytes > 13 else 6)]
+    document = {"type": "FeatureCollection", "crs": {"properties": {"name": "features"}}, "other": [{"AED_ID": "no"}], "features": features,
+                "after": [{"AED_ID": "no"}]}
+    for k, layout in enumerate((dict(indent=2), dict(separators=(",", ":"), ensure_ascii=False))):
+        path = tmp_path / f"doc-{k}.geojson"
+        path.write_text(json.dumps(document, **layout), encoding="utf-8")
+        whole = geojson.read_feature_collection(spark, str(path))
+        split = geojson.read_large_collection(spark, str(path), range_bytes=range_bytes)
+        assert split.schema.names == whole.schema.names
+        assert sorted(map(tuple, split.collect()), key=lambda r: r[0]) == sorted(map(tuple, whole.collect()), key=lambda r: r[0])
+
+
+def test_documents_without_features(spark, tmp_path):
+    for k, text in enumerate(('{"features": []}', "{}", "", '{"features": [1, null, "{"]}')):
+        path = tmp_path / f"d{k}.json"
+        path.write_text(text)
+        assert geojson.read_large_collection(spark, str(path), range_bytes=5).count() == 0
+
+
 def test_feature_lines_are_numbered_in_file_order(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()
