@@ -23,14 +23,20 @@ LABEL_DESCR = "location description text length"
 LABEL_NO_BUILDING = "missing building name entirely"
 LABEL_NO_ROAD = "missing road name entirely"
 LABEL_NO_HOURS = "missing operating hours entirely"
-UNUSUAL_LONG = " is unusually long compared to other registry entries ("
-UNUSUAL_SHORT = " is unusually short compared to other registry entries ("
-UNUSUAL_END = " characters)"
-STANDS_OUT = " — this stands out compared to other registry entries"
+UNUSUAL = "{label} is unusually {direction} compared to other registry entries ({value} characters)"
+STANDS_OUT = "{label} — this stands out compared to other registry entries"
 MISSING_WEIGHT = 3.0
 LEAST_DEVIATION = 1.0
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A fixed text with its placeholders replaced."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
 def with_explanation(df: DataFrame, f: Fields = Fields(), population: DataFrame | None = None) -> DataFrame:
     """Add ``ai_explanation``: the feature deviating most from the population, NULL when none
     deviates by a standard deviation. The population defaults to the table itself."""
@@ -61,9 +67,9 @@ def with_explanation(df: DataFrame, f: Fields = Fields(), population: DataFrame
         by_absence(4, LABEL_NO_HOURS, f.hours))))
     df = df.withColumn("_top", top)
     label = capitalised(F.col("_top.label"))
-    direction = F.when(F.col("_top.z") > 0, UNUSUAL_LONG).otherwise(UNUSUAL_SHORT)
-    text = F.when(F.col("_top.value").isNull(), F.concat(label, F.lit(STANDS_OUT))).otherwise(
-        F.concat(label, direction, F.col("_top.value").cast("string"), F.lit(UNUSUAL_END)))
+    direction = F.when(F.col("_top.z") > 0, "long").otherwise("short")
+    text = F.when(F.col("_top.value").isNull(), filled(STANDS_OUT, label=label)).otherwise(
+        filled(UNUSUAL, direction=direction, value=F.col("_top.value").cast("string"), label=label))
     return df.withColumn(
         "ai_explanation", F.when(F.col("_top.size") >= LEAST_DEVIATION, text)).drop("_top")
 

@@ -68,6 +68,7 @@ def filtered(queue: DataFrame, min_score: float = 0.2, issue_types: list[str] =
 
 def ranked(queue: DataFrame, f: Fields = Fields()) -> DataFrame:
     """In order of priority; the id breaks ties, which also spreads equal scores over the sort."""
+    # The columns a reviewer is shown, in their order.
     shown = [f.id, f.building, f.road, f.hours, "final_review_score", "review_confidence_score",
              "ai_anomaly_score", "flag_missing_address", "flag_invalid_coords",
              "flag_duplicate_coords", "flag_fuzzy_duplicate", "flag_malformed_hours"]
@@ -111,6 +112,7 @@ def partner_records(flagged: DataFrame, wanted: list[str], f: Fields = Fields(),
 
 def partner_comparison(flagged: DataFrame, f: Fields = Fields(), hot_rows: int = 1_000_000) -> DataFrame:
     """One row per compared field: this record's value next to the matched record's."""
+    # The fields compared, in their order.
     fields = [f.id, f.building, f.road, f.floor, f.descr, f.hours]
     pairs = partner_records(flagged, fields, f, hot_rows)
     rows = F.explode(F.array(*[F.struct(

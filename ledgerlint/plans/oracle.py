@@ -436,9 +436,9 @@ EXPLAINED = FLAGGED + f""",
       WHERE operating_hours IS NULL),
   strongest AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(z) DESC, k) AS best FROM checks),
   explained AS (SELECT f.*, CASE WHEN abs(s.z) < 1 THEN NULL
-      WHEN s.value IS NULL THEN s.label || {quoted(texts.STANDS_OUT)}
-      ELSE s.label || CASE WHEN s.z > 0 THEN {quoted(texts.UNUSUAL_LONG)} ELSE {quoted(texts.UNUSUAL_SHORT)} END
-        || s.value || {quoted(texts.UNUSUAL_END)} END AS ai_explanation
+      WHEN s.value IS NULL THEN replace({quoted(texts.STANDS_OUT)}, '{{label}}', s.label)
+      ELSE replace(replace(replace({quoted(texts.UNUSUAL)}, '{{direction}}', CASE WHEN s.z > 0 THEN 'long' ELSE 'short' END),
+        '{{value}}', s.value::VARCHAR), '{{label}}', s.label) END AS ai_explanation
     FROM flagged f LEFT JOIN strongest s ON s.record_id = f.record_id AND s.best = 1)"""
 put("anomaly_explain", EXPLAINED + " SELECT record_id, ai_explanation FROM explained")
 REASONS = ", ".join([

@@ -120,3 +120,19 @@ def test_explanations_and_reasons(registry):
     assert out[0]["ai_explanation"] is None and out[0]["reasons"] == [explain.REASON_MODEL_PLAIN]
     quiet = df.withColumn("review_confidence_score", F.lit(0.2))
     assert explain.with_reasons(quiet).where("pos = 0").first()["reasons"] == [explain.REASON_NONE]
+
+
+def test_stored_queue_follows_the_log(spark, registry, tmp_path):
+    from ledgerlint.plans.triage import run_batch, stored_queue
+    from ledgerlint.sources.decisions import append_decisions
+    from ledgerlint.specs import ForestSpec
+    df = registry([dict(operating_hours="x" if i % 3 else "24/7", building_name=f"Tower {i}") for i in range(30)])
+    path, log = str(tmp_path / "scored"), str(tmp_path / "log")
+    run_batch(df, path, forest=ForestSpec(trees=5))
+    first = {r["record_id"]: r["decision"] for r in stored_queue(spark, path, log).collect()}
+    assert first and set(first.values()) == {"pending"}
+    one = sorted(first)[0]
+    append_decisions(spark.createDataFrame([(one, 0.5, "false_positive")], "record_id string, score double, decision string"), log)
+    after = stored_queue(spark, path, log)
+    assert {r["record_id"]: r["decision"] for r in after.collect()} == {**first, one: "false_positive"}
+    assert after._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 0
