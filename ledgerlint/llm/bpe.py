@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlint.llm.presplit import Generations, Presplitter, distinct_words, gathered, spelled
 from ledgerlint.llm.worker import kept
 
-CACHED_PIECES = 80_000  # pieces a worker remembers, the least recently used half going first
-SLICE_ROWS = 1_000  # texts whose distinct words are encoded together
+CACHED_PIECES = 60_000  # pieces a worker remembers, the least recently used half going first
+SLICE_ROWS = 500  # texts whose distinct words are encoded together
 MOST_STATES = 120_000  # states of the table, beyond which it is begun anew
 
 
@@ -85,8 +85,8 @@ class Automaton:
         """An empty table: per state what is under way, the transitions and the labels at a word's last character."""
         self.numbers: dict[tuple, int] = {}
         self.under_way: list[tuple] = []
-        self.table: list[dict[str, tuple[int, int]]] = []
-        self.last: list[dict[str, int]] = []
+        self.table: list[dict[str, tuple[int, int]] | None] = []
+        self.last: list[dict[str, int] | None] = []
         self._number(((0, -1),))
 
     def _number(self, under_way: tuple) -> int:
@@ -94,8 +94,8 @@ class Automaton:
         if state is None:
             state = self.numbers[under_way] = len(self.under_way)
             self.under_way.append(under_way)
-            self.table.append({})
-            self.last.append({})
+            self.table.append(None)
+            self.last.append(None)
         return state
 
     def _insert(self, k: int, u: int, v: int, uv: int) -> None:
@@ -133,7 +133,10 @@ class Automaton:
                     label = self.inside[at]
         if label >= 0:
             out.append((0, label))
-        found = self.table[state][c] = self._number(tuple(out)), label
+        found = self._number(tuple(out)), label
+        if self.table[state] is None:
+            self.table[state] = {}
+        self.table[state][c] = found
         return found
 
     def _enter_last(self, state: int, c: str) -> int:
@@ -141,6 +144,8 @@ class Automaton:
         for node, before in self.under_way[state]:
             at = self.kids[node].get(c) if self.kids[node] else None
             if at is not None and self.at_end[at] >= 0 and (before < 0 or self._has_arc(before, self.at_end[at])):
+                if self.last[state] is None:
+                    self.last[state] = {}
                 self.last[state][c] = self.at_end[at]
                 return self.at_end[at]
         return -1
@@ -153,12 +158,14 @@ class Automaton:
             self._forget()
         state, table, labels = 0, self.table, []
         for c in piece[:-1]:
-            found = table[state].get(c)
+            known = table[state]
+            found = known.get(c) if known is not None else None
             if found is None:
                 found = self._enter(state, c)
             state, label = found
             labels.append(label)
-        label, at = self.last[state].get(piece[-1]), len(piece)
+        known, at = self.last[state], len(piece)
+        label = known.get(piece[-1]) if known is not None else None
         if label is None:
             label = self._enter_last(state, piece[-1])
         path, chars = [], self.chars
