@@ -122,6 +122,11 @@ def lengths_allow(len_a: Column, len_b: Column, threshold: int) -> Column:
     return F.lit(200) * F.least(len_a, len_b) >= F.lit(threshold) * (len_a + len_b)
 
 
+def least_common(len_a: Column, len_b: Column, threshold: int) -> Column:
+    """The least common length that reaches the threshold; an integer quotient rounds up correctly in doubles."""
+    return F.ceil(F.lit(threshold) * (len_a + len_b) / F.lit(200.0)).cast("int")
+
+
 def _allowed(a: Column, b: Column, threshold: int, trim: Column | int) -> Column:
     """The largest indel distance that reaches the threshold; the product is an integer, so the
     quotient floors correctly in doubles."""

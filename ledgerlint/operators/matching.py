@@ -10,7 +10,8 @@ pairs of a block are never enumerated record by record:
   apart where a block has records without a floor.
 * Candidate texts come from an equi-join on (block, character bigram) over the few bigrams of a
   text that any similar text must share one of, not from the block alone. The same holds for
-  descriptions where they decide.
+  descriptions where they decide. Where what tells the texts of a block apart is short, they meet
+  by whole subsequences instead, as long as that of any similar text, so hardly any others meet.
 * The nodes of a block are taken in growing slices of the record order. What the leaders of a
   slice claim is gone before the next slice is joined with itself, which keeps the matches that
   are ever written near-linear even where almost everything in a block looks alike.
@@ -34,6 +35,7 @@ from ledgerlint.specs import MISSING_TEXT, Fields, MatchSpec
 UNIT = ["block", "text", "floor", "descr"]
 COMMON_GRAMS = 64
 WEAK = -1
+MOST_SUBSEQUENCES = 64  # keys of a text
 CELL = ["cell_row", "cell_column"]
 
 
@@ -122,6 +124,8 @@ def block_shapes(nodes: DataFrame, threshold: int) -> DataFrame:
     ``by_floor`` says that comparing floor by floor makes fewer pairs than comparing each distinct text once;
     only where all nodes have a floor. ``all_weak`` says that its texts are so short beside what similar ones
     may differ in that no bigram of them need be shared. ``common`` are its most frequent bigrams, rarest first.
+    ``exact`` says that a text has few subsequences of the lengths two similar ones must share, and that these are
+    fewer rows than the pairs to compare; then they are its keys. ``shortest`` and ``longest`` are lengths of texts.
     """
     by_floors = nodes.groupBy("block", "floor").agg(
         F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("text").alias("texts"), F.min("text").alias("low"), F.max("text").alias("high"),
@@ -139,11 +143,52 @@ def block_shapes(nodes: DataFrame, threshold: int) -> DataFrame:
     by_floor = (F.col("open") == 0) & (F.col("pairs_by_floor") < F.col("texts") * F.col("texts"))
     weak = F.col("longest") - F.col("left") - F.col("right") - 1 <= _lost_grams(F.col("longest"), threshold)
     pairs = F.when(by_floor, F.col("pairs_by_floor")).otherwise(F.col("texts") * F.col("texts"))
+    exact = F.col("n") * _most_subsequences(threshold) < pairs
     counted = nodes.select("block", F.explode(_bigrams(F.col("text"))).alias("gram")).groupBy("block", "gram").agg(F.count(F.lit(1)).alias("k"))
     ordered = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "gram"))).alias("g"))
     grams = ordered.select("block", F.reverse(F.slice("g", 1, COMMON_GRAMS).getField("gram")).alias("common"))
     return materialise(shapes.select("block", "n", "open", "left", "right", by_floor.alias("by_floor"), weak.alias("all_weak"),
-                                     pairs.alias("pairs")).join(grams, "block", "left"), "shapes")
+                                     pairs.alias("pairs"), F.coalesce(exact, F.lit(False)).alias("exact"), "shortest", "longest").join(grams, "block", "left"), "shapes")
+
+
+def _most_subsequences(threshold: int) -> Column:
+    """About how many keys the longest text of a block has at most, null if more than ``MOST_SUBSEQUENCES``."""
+    longest, chars = F.col("longest"), F.col("longest") - F.col("left") - F.col("right")
+    lost = lambda other: longest - sim.least_common(longest, other, threshold)
+    shortest = F.greatest(F.col("shortest"), F.ceil(longest * threshold / F.lit(200.0 - threshold)).cast("int"))
+    ways = lambda d: F.factorial(chars) / (F.factorial(F.least(d, chars)) * F.factorial(chars - F.least(d, chars)))
+    number = F.when(chars <= 20, F.aggregate(F.sequence(lost(longest), F.greatest(lost(longest), lost(shortest))), F.lit(0.0), lambda n, d: n + ways(d)))
+    return F.when(number <= MOST_SUBSEQUENCES, number)
+
+
+def subsequence_keys(text: Column, length: Column, trim: Column, shortest: Column, longest: Column, threshold: int) -> Column:
+    """Hashes of the subsequences of a text by which all similar ones meet, given the lengths in its block.
+
+    Two texts are similar if and only if they have a common subsequence of the least length that reaches the
+    threshold, which follows from both their lengths; so each gets those for every length the other may have.
+    """
+    others = F.filter(F.sequence(shortest, longest), lambda other: sim.lengths_allow(length, other, threshold))
+    sizes = F.array_distinct(F.transform(others, lambda other: F.greatest(sim.least_common(length, other, threshold) - trim, F.lit(0))))
+    without_one = lambda texts: F.array_distinct(F.flatten(F.transform(texts, lambda s: F.transform(
+        F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+
+    def of(sizes: Column) -> Column:
+        def shorter(found: Column, lost: Column) -> Column:
+            texts = F.when(lost == 0, found["texts"]).otherwise(without_one(found["texts"]))
+            return F.struct(texts.alias("texts"), found["kept"].alias("kept"))
+
+        def taken(found: Column, lost: Column) -> Column:
+            wanted = F.array_contains(sizes, F.length(text) - lost)
+            return F.struct(found["texts"].alias("texts"), F.when(wanted, F.concat(found["kept"], found["texts"])).otherwise(found["kept"]).alias("kept"))
+
+        def step(found: Column, lost: Column) -> Column:
+            return F.get(F.transform(F.array(shorter(found, lost)), lambda made: taken(made, lost)), F.lit(0))
+
+        start = F.struct(F.array(text).alias("texts"), F.array().cast("array<string>").alias("kept"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(text) - F.array_min(sizes)), start, step, lambda found: found["kept"])
+
+    found = F.flatten(F.transform(F.array(sizes), of))  # a variable of its own, so the sizes are computed once
+    return F.transform(found, lambda s: F.xxhash64(s))
 
 
 def _common_grams(texts: DataFrame, text: str) -> Column:
@@ -195,14 +240,17 @@ def with_parts(nodes: DataFrame, shapes: DataFrame, spec: MatchSpec) -> DataFram
 
 def text_keys(nodes: DataFrame, spec: MatchSpec = MatchSpec(), shapes: DataFrame | None = None) -> DataFrame:
     """The distinct (block, part, text) with ``core``, the text without what all texts of its block begin and end
-    with, ``trim``, the number of characters left out, and ``keys``. Nodes without a part have one part."""
+    with, ``trim``, the number of characters left out, and ``keys``, subsequences where ``exact``. Nodes without a
+    part have one part."""
     shapes = block_shapes(nodes, spec.address_threshold) if shapes is None else shapes
     part = F.col("part") if "part" in nodes.columns else F.lit("").alias("part")
-    texts = shaped(nodes.select("block", part, "text").distinct(), shapes, ["left", "right", "all_weak", "common"], spec)
+    texts = shaped(nodes.select("block", part, "text").distinct(), shapes, ["left", "right", "all_weak", "common", "exact", "shortest", "longest"], spec)
     trim = F.col("left") + F.col("right")
     texts = texts.withColumn("trim", trim).withColumn("core", F.substring("text", F.col("left") + 1, F.length("text") - trim))
     texts = with_keys(texts, "core", F.length("text"), spec.address_threshold, "keys", F.col("common"), F.col("all_weak"))
-    return texts.select("block", "part", "text", "core", "trim", "keys")
+    subsequences = subsequence_keys(F.col("core"), F.length("text"), F.col("trim"), F.col("shortest"), F.col("longest"), spec.address_threshold)
+    return texts.withColumn("keys", F.when(F.col("exact"), subsequences).otherwise(F.col("keys"))).select(
+        "block", "part", "text", "core", "trim", "keys", "exact")
 
 
 def _partitions(df: DataFrame) -> int:
@@ -213,7 +261,7 @@ def _partitions(df: DataFrame) -> int:
 
 def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec(),
                   itself: bool = False, n_block: int | None = None, scored: bool = True,
-                  parts: bool = False) -> DataFrame:
+                  parts: bool = False, some_exact: bool = True) -> DataFrame:
     """Pairs (block, text_a, text_b[, score]), with ``parts`` also their part, of different texts that reach the
     threshold, each once, from two tables of :func:`text_keys`; with ``itself`` (``left`` is ``right``) only in
     the order text_a < text_b.
@@ -221,13 +269,15 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
     ``n_block``, if given, bounds the texts of a block on either side. Where no block can hold
     more than ``task_pairs`` pairs, no key can either and none is counted.
     Without the score, pairs so close that their edit distance decides are not compared further.
+    ``some_exact`` may be false if no text has subsequences as keys; pairs that meet by several are told apart
+    afterwards, so that a text's keys need not go with each of its rows.
     """
     on = ["block", "part", "key"]
     sides = []
     for side, texts in (("a", left), ("b", right)):
         sides.append(texts.select(
             "block", "part", F.explode("keys").alias("key"), F.col("text").alias(f"text_{side}"),
-            F.col("core").alias(f"core_{side}"), F.length("text").alias(f"len_{side}"), F.col("keys").alias(f"keys_{side}"),
+            F.col("core").alias(f"core_{side}"), F.length("text").alias(f"len_{side}"), F.when(~F.col("exact"), F.col("keys")).alias(f"keys_{side}"),
             *[F.col("trim")] * (side == "a")))
     a, b = sides
     if n_block is None or n_block * n_block > spec.task_pairs:
@@ -236,13 +286,15 @@ def similar_texts(left: DataFrame, right: DataFrame, spec: MatchSpec = MatchSpec
     x, y, trim, t = F.col("core_a"), F.col("core_b"), F.col("trim"), spec.address_threshold
     is_weak = lambda keys: F.element_at(keys, -1) == WEAK
     both_weak = is_weak(F.col("keys_a")) & is_weak(F.col("keys_b"))
-    once = F.when(both_weak, F.col("key") == WEAK).otherwise(
+    once = F.when(F.col("keys_a").isNull(), True).when(both_weak, F.col("key") == WEAK).otherwise(
         F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key"))
     # the work is in the comparisons, not in the bytes: keep all partitions
     candidates = a.repartition(_partitions(left), *on).join(b, on).where(
         (F.col("text_a") < F.col("text_b") if itself else F.col("text_a") != F.col("text_b"))
         & sim.lengths_allow(F.col("len_a"), F.col("len_b"), t) & once & sim.edits_allow(x, y, t, trim)).select(
         "block", "part", "text_a", "text_b", "core_a", "core_b", "trim")
+    if some_exact:
+        candidates = candidates.distinct()
     out = ["block", *["part"] * parts, "text_a", "text_b"]
     if not scored:
         return _reaching(candidates, x, y, t, trim).select(*out)
@@ -293,7 +345,7 @@ def split_crowded(a: DataFrame, b: DataFrame, on: list[str], id_a: str, id_b: st
 
 def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: MatchSpec = MatchSpec(),
                 itself: bool = False, n_block: int | None = None,
-                some_without_floor: bool = True, scored: bool = True) -> DataFrame:
+                some_without_floor: bool = True, scored: bool = True, some_exact: bool = True) -> DataFrame:
     """Matching nodes as (block, left, right[, score]) with left < right in record order; the
     score is that of the address texts.
 
@@ -305,8 +357,8 @@ def match_edges(left: DataFrame, right: DataFrame, texts: DataFrame, spec: Match
     left, right = (n if "part" in n.columns else n.withColumn("part", F.lit("")) for n in (left, right))
     own = ["block", "part", "text"]
     of = lambda nodes: texts.join(nodes.select(*own).distinct(), own, "left_semi")
-    pairs = (similar_texts(texts, texts, spec, True, n_block, scored, True) if itself
-             else similar_texts(of(left), of(right), spec, False, n_block, scored, True))
+    pairs = (similar_texts(texts, texts, spec, True, n_block, scored, True, some_exact) if itself
+             else similar_texts(of(left), of(right), spec, False, n_block, scored, True, some_exact))
     score = [F.col("score")] if scored else []
     alike = left.select("block", "part", F.col("text").alias("text_a")).distinct().select(
         "block", "part", "text_a", F.col("text_a").alias("text_b"), *[F.lit(100.0).alias("score") for _ in score])
@@ -383,7 +435,7 @@ def with_slices(nodes: DataFrame, largest: int, spec: MatchSpec = MatchSpec()) -
 def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """(vid, leader) of every claimed node of a written node table."""
     shapes = block_shapes(nodes, spec.address_threshold)
-    largest, without_floor = shapes.agg(F.max("n"), F.sum("open")).first()
+    largest, without_floor, some_exact = shapes.agg(F.max("n"), F.sum("open"), F.max("exact")).first()
     nodes = materialise(with_parts(nodes, shapes, spec), "nodes")
     texts = materialise(text_keys(nodes, spec, shapes), "texts")
     waiting, last = with_slices(nodes, largest or 0, spec)
@@ -393,7 +445,7 @@ def claim_nodes(nodes: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
         if itself and last:
             some = texts.join(left.select("block", "part", "text").distinct(), ["block", "part", "text"], "left_semi")
         return match_edges(left, right, some, spec, itself, largest or 0, (without_floor or 0) > 0,
-                           scored=False)
+                           scored=False, some_exact=bool(some_exact))
 
     found = []
     for step in range(last + 1):

@@ -294,3 +294,37 @@ def test_common_ends_and_floors_leave_the_result(spark, registry):
         s = matching.block_shapes(df, 90).first()
         assert s["left"] + s["right"] <= min(map(len, texts))
         assert all(t[:s["left"]] == texts[0][:s["left"]] and t[len(t) - s["right"]:] == texts[0][len(texts[0]) - s["right"]:] for t in texts)
+
+
+def test_short_cores_meet_by_what_similar_texts_share(spark):
+    """Numbered names of one road and floor: the pairs that meet under a key stay far below the square, and claims are whole."""
+    rng = random.Random(4)
+    numbers = rng.sample(range(10**6), 1200)
+    names = [f"Customer#{i:09d} Nation 3" for i in numbers]
+    rows = [("nation 3", name, "1", "", i, i, 1) for i, name in enumerate(names)]
+    nodes = matching.materialise(spark.createDataFrame(
+        rows, "block string, text string, floor string, by string, vid long, last_pos long, n long"), "nodes")
+    texts = matching.text_keys(nodes)
+    keys = texts.select("text", F.explode("keys").alias("key")).groupBy("key").count()
+    assert keys.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 1200 * 1200 / 4
+    claimed = {r["vid"]: r["leader"] for r in matching.claim_nodes(nodes, MatchSpec(first_slice=100)).collect()}
+    expected = {}
+    for i in range(len(names)):
+        if i not in expected:
+            for j in range(i + 1, len(names)):
+                if j not in expected and reach(f"{numbers[i]:06d}", f"{numbers[j]:06d}", 100 * 4 / 6):
+                    expected[j] = i
+    assert all(reach(names[i], names[j], 90) for j, i in list(expected.items())[:50])
+    assert claimed == expected
+
+
+def test_subsequence_keys_of_texts_of_several_lengths(spark):
+    """The pairs of a block with lengths 9 to 14, by subsequences, are those of the plain definition; also for repeated characters."""
+    rng = random.Random(5)
+    names = sorted({"Harbour " + "".join(rng.choice("ab1é") for _ in range(rng.randrange(1, 7))) for _ in range(300)})
+    nodes = spark.createDataFrame([("r", t, "1", "", i, i, 1) for i, t in enumerate(names)],
+                                  "block string, text string, floor string, by string, vid long, last_pos long, n long")
+    texts = matching.text_keys(nodes, MatchSpec(address_threshold=90)).cache()
+    assert texts.where("exact").count() == len(names)
+    got = sorted((r["text_a"], r["text_b"]) for r in matching.similar_texts(texts, texts, MatchSpec(), True).collect())
+    assert got == [(a, b) for a in names for b in names if a < b and reach(a, b, 90)]
