@@ -31,7 +31,7 @@ from ledgerlint.llm.worker import kept
 
 CACHED_PIECES = 60_000  # pieces a worker remembers, the least recently used half going first
 SLICE_ROWS = 500  # texts whose distinct words are encoded together
-MOST_STATES = 120_000  # states of the table, beyond which it is begun anew
+MOST_STATES = 80_000  # entries of the table, beyond which it is begun anew
 
 
 class Automaton:
@@ -44,6 +44,7 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         self.n = max(vocab.values(), default=-1) + 1
+        self.bits = self.n.bit_length()  # those of a label + 1
         pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in merges]
         joined = {a + b for a, b in pairs}
         self.alive = [False] * self.n  # whether any arc has this label
@@ -82,11 +83,12 @@ class Automaton:
         return node
 
     def _forget(self) -> None:
-        """An empty table: per state what is under way, the transitions and the labels at a word's last character."""
+        """An empty table: per state what is under way, the transitions and the labels at a word's last character.
+        Both are one dictionary by state and character of numbers, not objects of their own for every state."""
         self.numbers: dict[tuple, int] = {}
         self.under_way: list[tuple] = []
-        self.table: list[dict[str, tuple[int, int]] | None] = []
-        self.last: list[dict[str, int] | None] = []
+        self.table: dict[int, int] = {}
+        self.last: dict[int, int] = {}
         self._number(((0, -1),))
 
     def _number(self, under_way: tuple) -> int:
@@ -94,8 +96,6 @@ class Automaton:
         if state is None:
             state = self.numbers[under_way] = len(self.under_way)
             self.under_way.append(under_way)
-            self.table.append(None)
-            self.last.append(None)
         return state
 
     def _insert(self, k: int, u: int, v: int, uv: int) -> None:
@@ -121,8 +121,8 @@ class Automaton:
             until_last, last = self.made[last], self.right[last]
         return True
 
-    def _enter(self, state: int, c: str) -> tuple[int, int]:
-        """Enter a transition: (next state, label that ends an accepted path there or -1)."""
+    def _enter(self, state: int, c: str) -> int:
+        """Enter a transition: the next state and, in the low bits, 1 + the label that ends an accepted path there or 0."""
         label, out = -1, []
         for node, before in self.under_way[state]:
             at = self.kids[node].get(c) if self.kids[node] else None
@@ -133,10 +133,7 @@ class Automaton:
                     label = self.inside[at]
         if label >= 0:
             out.append((0, label))
-        found = self._number(tuple(out)), label
-        if self.table[state] is None:
-            self.table[state] = {}
-        self.table[state][c] = found
+        found = self.table[state << 21 | ord(c)] = self._number(tuple(out)) << self.bits | label + 1
         return found
 
     def _enter_last(self, state: int, c: str) -> int:
@@ -144,9 +141,7 @@ class Automaton:
         for node, before in self.under_way[state]:
             at = self.kids[node].get(c) if self.kids[node] else None
             if at is not None and self.at_end[at] >= 0 and (before < 0 or self._has_arc(before, self.at_end[at])):
-                if self.last[state] is None:
-                    self.last[state] = {}
-                self.last[state][c] = self.at_end[at]
+                self.last[state << 21 | ord(c)] = self.at_end[at]
                 return self.at_end[at]
         return -1
 
@@ -156,16 +151,15 @@ class Automaton:
             return []
         if len(self.table) > MOST_STATES:
             self._forget()
-        state, table, labels = 0, self.table, []
+        state, table, labels, bits, low = 0, self.table, [], self.bits, (1 << self.bits) - 1
         for c in piece[:-1]:
-            known = table[state]
-            found = known.get(c) if known is not None else None
+            found = table.get(state << 21 | ord(c))
             if found is None:
                 found = self._enter(state, c)
-            state, label = found
-            labels.append(label)
-        known, at = self.last[state], len(piece)
-        label = known.get(piece[-1]) if known is not None else None
+            state = found >> bits
+            labels.append((found & low) - 1)
+        at = len(piece)
+        label = self.last.get(state << 21 | ord(piece[-1]))
         if label is None:
             label = self._enter_last(state, piece[-1])
         path, chars = [], self.chars
