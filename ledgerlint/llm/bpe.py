@@ -10,11 +10,15 @@ The arcs a gadget takes away are stored, with its place in the order; whether a
 follows from the parts of both labels.
 
 Words come as characters, of which labels are made. As a character sequence has one accepted path only,
-so has each beginning of it, and the automaton over labels becomes a deterministic one over characters:
-its states are the labels that may be under way, each as a place in the tree of labels and the label
-before it. A transition gives the next state and the one label, if any, with which an accepted path may
-end there. Transitions are entered in a table when they are first taken; a word is encoded by one look
-into the table per character, and its path read off backwards. Decoding emits the labels of the arcs.
+so has each beginning of it, and where a label ends at a character, whether it is the last of that path
+follows from the label before it. Many pieces are read together: all labels in their characters are found
+by the tree of labels, kept in an array, and then the pieces go on by one character at a time, each
+keeping the one label with which its path may end there. The path is read off backwards.
+
+A very long piece goes alone, by a deterministic automaton over characters: its states are the labels that
+may be under way, each as a place in the tree and the label before it, and a transition gives the next state
+and the label, if any, of a path that ends there. Transitions are entered in a table when they are first
+taken. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -23,17 +27,51 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlint.llm.presplit import Generations, Presplitter, distinct_words, gathered, spelled
+from ledgerlint.llm.presplit import Presplitter, distinct_words, gathered, grouped
 from ledgerlint.llm.worker import kept
 
-CACHED_PIECES = 60_000  # pieces a worker remembers, the least recently used half going first
-SLICE_ROWS = 500  # texts whose distinct words are encoded together
+SLICE_ROWS = 1_000  # texts whose distinct words are encoded together
+TOGETHER = 100_000  # characters of the pieces read together
+LONG = 256  # characters beyond which a piece goes alone, at most 32,767
 MOST_STATES = 80_000  # entries of the table, beyond which it is begun anew
 
 
+class Numbers:
+    """A fixed mapping of integers to integers not below 0, looked up for many at once; -1 where there is none."""
+
+    def __init__(self, known: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(known)) for x in (known.keys(), known.values()))
+        self.bits = max(4, (4 * len(known)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32)
+        at = self._place(keys)
+        while len(keys):  # the first to come takes a free place, the others go to the next
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            keys, values, at = keys[~done], values[~done], (at[~done] + 1) & (1 << self.bits) - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[left]]
+            found = there == keys[left]
+            out[left[found]] = self.values[at[left[found]]]
+            left = left[~found & (there >= 0)]
+        return out
+
+
 class Automaton:
     """The token automaton of a BPE model: {label: id}, merges in order, suffix of word ends.
 
@@ -66,6 +104,7 @@ class Automaton:
                 (self.at_end if last else self.inside)[self._node(body)] = i
         if not suffix:
             self.at_end = self.inside
+        self._compile()
         self._forget()
 
     def _node(self, body: str) -> int:
@@ -109,17 +148,103 @@ class Automaton:
     def _has_arc(self, last: int, label: int) -> bool:
         """Whether ``label`` may follow ``last``. The state after a joined token is that after its
         second part as it was then, so of the gadgets of that part only earlier ones count; a
-        joined token has arcs where its first part had them then."""
-        until_last = len(self.gadget) + len(self.vocab)
-        while last >= 0:
-            until, part = len(self.gadget) + len(self.vocab), label
-            while part >= 0:
-                k = self.gadget.get(last * self.n + part)
-                if k is not None and k < until_last and k <= until:
-                    return False
-                until, part = self.made[part], self.left[part]
-            until_last, last = self.made[last], self.right[last]
-        return True
+        joined token has arcs where its first part had them then. Both are taken apart in the
+        order they were made, the later first."""
+        until_last = until = len(self.gadget) + len(self.vocab)
+        while True:
+            k = self.gadget.get(last * self.n + label)
+            if k is not None and k < until_last and k <= until:
+                return False
+            made_last, made = self.made[last], self.made[label]
+            if made_last > made:
+                until_last, last = made_last, self.right[last]
+            elif made >= 0:
+                until, label = made, self.left[label]
+            else:
+                return True
+
+    def _compile(self) -> None:
+        """The tree of labels, the gadgets and the parts of labels as arrays."""
+        self.step = Numbers({node << 21 | ord(c): to for node, own in enumerate(self.kids) for c, to in (own or {}).items()})
+        self.taken = Numbers(self.gadget)
+        self.ends = np.array([self.inside, self.at_end], np.int32)
+        self.parts = np.array([self.left, self.right, self.made], np.int32)
+        self.widths = np.array(self.chars, np.int32)
+
+    def _have_arcs(self, last: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """``_has_arc`` of many pairs."""
+        out, live = np.ones(len(last), bool), np.arange(len(last))
+        until_last = until = np.full(len(last), len(self.gadget) + len(self.vocab), np.int32)
+        left, right, made = self.parts
+        while len(live):
+            k = self.taken(last.astype(np.int64) * self.n + label)
+            gone = (k >= 0) & (k < until_last) & (k <= until)
+            out[live[gone]] = False
+            made_last, made_label = made[last], made[label]
+            go = np.flatnonzero(~gone & ((made_last >= 0) | (made_label >= 0)))
+            live, last, label, until_last, until = live[go], last[go], label[go], until_last[go], until[go]
+            made_last, made_label = made_last[go], made_label[go]
+            later = made_last > made_label
+            until_last, until = np.where(later, made_last, until_last), np.where(later, until, made_label)
+            last, label = np.where(later, right[last], last), np.where(later, label, left[label])
+        return out
+
+    def encode_all(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """The labels of the accepted paths along pieces, one after the other, and their number for each; a
+        piece given as a number is that label."""
+        sizes = np.array([len(p) if isinstance(p, str) else 1 for p in pieces], np.int64)
+        cuts = [0, *np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER, sizes.sum(), TOGETHER)).tolist(), len(pieces)]
+        done = [self._together(pieces[a:b], sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([labels for labels, _ in done]), np.concatenate([n for _, n in done])
+
+    def _together(self, pieces: list, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        path = np.full(sizes.sum() + 1, -1, np.int32)  # the label with which a path ends at a place
+        chosen = np.zeros(len(path), bool)
+        alone = np.array([not isinstance(p, str) or len(p) > LONG for p in pieces], bool)
+        for i in np.flatnonzero(alone).tolist():
+            labels = self.encode(pieces[i]) if isinstance(pieces[i], str) else [pieces[i]]
+            first = ends[i] - sizes[i] + 1
+            path[first: first + len(labels)], chosen[first: first + len(labels)] = labels, True
+        chars = np.frombuffer("".join(p if isinstance(p, str) else " " for p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._extend(chars.astype(np.int64), ends - sizes, ends, ~alone, path)
+        at, first = ends[~alone & (sizes > 0)], (ends - sizes)[~alone & (sizes > 0)]
+        while len(at):  # backwards, by a label of every piece at a time
+            label = path[at]
+            if (label < 0).any():
+                raise ValueError(f"no path for {pieces[int(np.searchsorted(ends, at[np.argmin(label)]))]!r}")
+            chosen[at] = True
+            at = at - self.widths[label]
+            more = at > first
+            at, first = at[more], first[more]
+        return path[chosen], np.diff(np.cumsum(chosen)[ends], prepend=0)
+
+    def _extend(self, chars, firsts, ends, use, path) -> None:
+        """Enter the last label of the path to each place of the pieces in use."""
+        sizes = ends - firsts
+        place = np.flatnonzero(np.repeat(use, sizes))
+        first, end = (np.repeat(x[use], sizes[use]) for x in (firsts, ends))
+        begin, node, found = place, np.zeros(len(place), np.int64), []
+        while len(place):  # labels of one more character, from every place
+            node = self.step(node << 21 | chars[place])
+            place = place + 1
+            label = self.ends[(place == end).astype(np.int64), node]
+            hit = np.flatnonzero((node >= 0) & (label >= 0))
+            found.append((place[hit], begin[hit], first[hit], label[hit]))
+            go = np.flatnonzero((node >= 0) & (place < end))
+            place, begin, first, end, node = place[go], begin[go], first[go], end[go], node[go].astype(np.int64)
+        if not found:
+            return
+        place, begin, first, label = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort((place - first).astype(np.int16), kind="stable")
+        place, begin, label, starts = place[order], begin[order], label[order], (begin == first)[order]
+        a = 0
+        for b in np.cumsum(np.bincount(place - first[order])).tolist():  # places a character further on
+            fits, before = starts[a:b].copy(), path[begin[a:b]]
+            inner = np.flatnonzero(~fits & (before >= 0))
+            fits[inner] = self._have_arcs(before[inner], label[a:b][inner])
+            path[place[a:b][fits]] = label[a:b][fits]
+            a = b
 
     def _enter(self, state: int, c: str) -> int:
         """Enter a transition: the next state and, in the low bits, 1 + the label that ends an accepted path there or 0."""
@@ -184,29 +309,27 @@ class Codec:
         self.split = Presplitter(tokenizer_json)
         self.automaton = Automaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.labels = {i: label for label, i in {**model["vocab"], **self.split.added}.items()}
-        self.memory = Generations(CACHED_PIECES)
-
-    def _ids(self, piece) -> list[int]:
-        return self.automaton.encode(piece) if isinstance(piece, str) else [piece]
+        every = range(max(self.labels, default=-1) + 1)
+        self.spellings = [pa.array([f"{x} ".encode() for x in spelling], pa.large_binary())
+                          for spelling in (every, [self.labels.get(i, "") for i in every])]
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
         names, codes, counts = self.split.all_pieces(words)
-        coded, flat, out, at = [self._ids(p) for p in names], codes.tolist(), [], 0
+        ids, numbers = self.automaton.encode_all(names)
+        flat, ends = ids.tolist(), np.cumsum(numbers).tolist()
+        coded = [flat[b - n: b] for b, n in zip(ends, numbers.tolist())]
+        flat, out, at = codes.tolist(), [], 0
         for n in counts.tolist():
             out.append([i for c in flat[at: at + n] for i in coded[c]])
             at += n
         return out
 
     def rendered(self, words: list[str]) -> list[pa.Array]:
-        """The decimal ids and the labels of each word, a blank behind each; pieces in use are encoded once."""
-        def spell(names: list) -> list[list[bytes]]:
-            found = self.memory.values(names, lambda new: [self._rendered(self._ids(p)) for p in new])
-            return [[x for x, _ in found], [x for _, x in found]]
-        return spelled(self.split, words, spell)
-
-    def _rendered(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return f"{' '.join(map(str, ids))} ".encode(), f"{self.decode(ids)} ".encode()
+        """The decimal ids and the labels of each word, a blank behind each."""
+        names, codes, counts = self.split.all_pieces(words)
+        ids, numbers = self.automaton.encode_all(names)
+        return [grouped(grouped(x, ids, numbers), codes, counts) for x in self.spellings]
 
     def decode(self, ids: list[int]) -> str:
         """The arc labels, joined as the library joins tokens where a file names no decoder."""

@@ -105,15 +105,16 @@ def spelled(split: Presplitter, words: list[str], spell: Callable[[list], Sequen
     """``spell`` gives one or more lists of bytes for distinct pieces; the result has, for each list, the
     bytes of all pieces of each word joined."""
     names, codes, counts = split.all_pieces(words)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    out = []
-    for values in spell(names):
-        taken = pa.array(values, pa.large_binary()).take(pa.array(codes))
-        at = np.zeros(1, np.int64) if not len(taken) else np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
-        data = taken.buffers()[2] if len(taken) else None
-        out.append(pa.Array.from_buffers(pa.large_binary(), len(words),
-                                         [None, pa.py_buffer(at[ends].tobytes()), data or pa.py_buffer(b"")]))
-    return out
+    return [grouped(pa.array(values, pa.large_binary()), codes, counts) for values in spell(names)]
+
+
+def grouped(values: pa.Array, codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values of codes, joined in groups of as many as ``counts`` says."""
+    taken = values.take(pa.array(codes))
+    at = np.zeros(1, np.int64) if not len(taken) else np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+    data = taken.buffers()[2] if len(taken) else None
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at[ends].tobytes()), data or pa.py_buffer(b"")])
 
 
 class PieceEncoder:
